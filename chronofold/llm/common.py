@@ -5,6 +5,8 @@ Arrow functions here run on executors and hold one Arrow batch of texts at a tim
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,43 +79,68 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
+_BYTE = _mix((LOWER.astype(np.uint64) + np.uint64(1)) * _GOLD)
+
+
+#: Bytes that are hashed at a time.
+BLOCK_BYTES = 1 << 18
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, first word of each text) for lower-cased words.
+    """(64-bit hash of each word, first word of each text and their end) for lower-cased words.
 
     Words are runs of bytes outside SPACE. A word's hash sums a random 64-bit value per byte
-    times odd powers of a constant, taken relative to the word's start, then mixes the sum
-    with the length: the same bytes give the same hash wherever they stand.
+    times powers of an odd constant, taken relative to the word's start (prefix sums over the block,
+    times the inverse power at the start), then mixes the sum with the length: the same bytes give the same hash wherever they stand. Works in blocks cut
+    at white space, so memory beyond the result is bounded unless one word is longer.
     """
+    starts, hashes, at, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, len(data)
+    while at < n:
+        end = _cut(data, at, min(n, at + BLOCK_BYTES))
+        low, high = np.searchsorted(offsets, [at, end])
+        s, h = _hash_block(data[at:end], offsets[low:high] - at)
+        starts.append(s + at)
+        hashes.append(h)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _cut(data: np.ndarray, begin: int, end: int) -> int:
+    """The last place up to ``end`` that follows white space, else the first after it."""
+    if end == len(data):
+        return end
+    if len(spots := np.flatnonzero(SPACE[data[begin:end]])):
+        return begin + int(spots[-1]) + 1
+    rest = np.flatnonzero(SPACE[data[end:]])
+    return end + int(rest[0]) + 1 if len(rest) else len(data)
+
+
+def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    first = offsets[:-1][(offsets[:-1] < n)]
-    begins[first] = inside[first]
-    starts = np.flatnonzero(begins)
-    ends_at = np.flatnonzero(inside & np.append(~inside[1:] | begins[1:], True)) + 1
-    place = np.arange(n, dtype=np.int64)
-    place -= np.repeat(starts, np.diff(np.append(starts, n))) if len(starts) and starts[0] == 0 else np.concatenate([np.zeros(starts[0] if len(starts) else n, np.int64), np.repeat(starts, np.diff(np.append(starts, n)))])
-    values = _BYTE[LOWER[data]]
-    values *= _powers(int(place.max()) + 1 if n else 1)[place]
-    values[~inside] = 0
-    sums = np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
-    sums += (ends_at - starts).astype(np.uint64) * _GOLD
-    return _mix(sums), np.searchsorted(starts, offsets)
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    if n > 1:
-        out[1:] = np.uint64(0xD6E8FEB86659FD93)
-        np.multiply.accumulate(out, out=out)
-    return out
+    begins[breaks] = inside[breaks]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    power, inverse = _powers(1 << max(18, n.bit_length()))
+    sums = np.zeros(n + 1, np.uint64)  # prefix sums of byte values times powers of the place in the block
+    np.take(_BYTE, data, out=sums[1:])
+    sums[1:] *= power[:n]
+    np.cumsum(sums, out=sums)
+    return starts, _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers modulo 2**64 of an odd constant, and of its inverse."""
+    out = []
+    for base in (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def fold_words(words: np.ndarray, n: int) -> np.ndarray:
@@ -144,3 +171,19 @@ def with_arrow(df: DataFrame, fn, fields: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(made[f.name] for f in added.fields)], names=[*kept, *(f.name for f in added.fields)])
 
     return map_arrow(df, run, StructType([*keep, *added.fields]))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage by a reliable checkpoint in the cluster's shared folder.
+
+    The folder is ``spark.checkpoint.dir``; one is made only where that is unset, as in tests.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="chronofold-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

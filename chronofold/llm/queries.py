@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, urls
+from . import bpe, langid, mixing, ngramjoin, toxicity, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_ngram_jaccard": ngramjoin.op6_ngram_jaccard,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_SQL,
     "op3_url_filter": urls.ORACLE_SQL,
+    "op6_ngram_jaccard": ngramjoin.ORACLE_SQL,
 }

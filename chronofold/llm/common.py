@@ -86,19 +86,19 @@ _BYTE = _mix((LOWER.astype(np.uint64) + np.uint64(1)) * _GOLD)
 BLOCK_BYTES = 1 << 18
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, first word of each text and their end) for lower-cased words.
 
     Words are runs of bytes outside SPACE. A word's hash sums a random 64-bit value per byte
     times powers of an odd constant, taken relative to the word's start (prefix sums over the block,
     times the inverse power at the start), then mixes the sum with the length: the same bytes give the same hash wherever they stand. Works in blocks cut
-    at white space, so memory beyond the result is bounded unless one word is longer.
+    at white space, so memory beyond the result is bounded unless one word is longer. With ``lead``, only the first that many bytes of a word count.
     """
     starts, hashes, at, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, len(data)
     while at < n:
         end = _cut(data, at, min(n, at + BLOCK_BYTES))
         low, high = np.searchsorted(offsets, [at, end])
-        s, h = _hash_block(data[at:end], offsets[low:high] - at)
+        s, h = _hash_block(data[at:end], offsets[low:high] - at, lead)
         starts.append(s + at)
         hashes.append(h)
         at = end
@@ -115,7 +115,7 @@ def _cut(data: np.ndarray, begin: int, end: int) -> int:
     return end + int(rest[0]) + 1 if len(rest) else len(data)
 
 
-def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, breaks: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     inside = ~SPACE[data]
     begins = inside.copy()
@@ -124,6 +124,8 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | begins[1:]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    if lead:
+        ends = np.minimum(ends, starts + lead)
     power, inverse = _powers(1 << max(18, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)  # prefix sums of byte values times powers of the place in the block
     np.take(_BYTE, data, out=sums[1:])

@@ -1,7 +1,7 @@
 """Operator 4: toxicity by a small convolutional text classifier.
 
 Words (runs of ASCII letters and digits and of bytes over 127, A-Z lower-cased) are hashed to
-rows of an embedding table. Filters one, two and three words wide slide over the whole
+rows of an embedding table, and so are their first four bytes; a word's vector is the sum of both. Filters one, two and three words wide slide over the whole
 text, their maxima over all positions feed a linear layer. Everything is trained in numpy by
 Adam; the first embedding coordinate starts from each bucket's smoothed log odds, the rest small and
 random with a fixed seed. Because filters are linear, scoring multiplies the table with all
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, hash_words, hold_out, map_arrow, table, text_bytes, with_arrow
 
-BUCKETS, WIDTH, FILTERS, SIZES = 1 << 15, 8, 8, (1, 2, 3)
-POSITIVES, NEGATIVES = 1500, 3000
+#: Rows for words, then for beginnings of words; the row PAD after them is zero.
+BUCKETS, BEGINNINGS = 1 << 15, 1 << 14
+PAD, LEAD = BUCKETS + BEGINNINGS, 4
+WIDTH, FILTERS, SIZES = 8, 8, (1, 2, 3)
+POSITIVES, NEGATIVES = 2500, 5000
 BLOCK = 1 << 16
 #: Function words that tell a text's language for its threshold.
 WORDS = {
@@ -41,12 +44,16 @@ assert SPACE[32]
 
 
 def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word, offsets of texts), each text followed by two pads (bucket BUCKETS)."""
+    """(rows of each word, shape (n, 2); offsets of texts), each text followed by two pads."""
     data, offsets = text_bytes(column)
-    words, first = hash_words(_WORD[data], offsets)
+    data = _WORD[data]
+    words, first = hash_words(data, offsets)
+    begins, _ = hash_words(data, offsets, LEAD)
     texts = len(offsets) - 1
-    out = np.full(len(words) + 2 * texts, BUCKETS, np.int32)
-    out[np.arange(len(words)) + 2 * np.repeat(np.arange(texts), np.diff(first))] = (words % np.uint64(BUCKETS)).astype(np.int32)
+    out = np.full((len(words) + 2 * texts, 2), PAD, np.int32)
+    at = np.arange(len(words)) + 2 * np.repeat(np.arange(texts), np.diff(first))
+    out[at, 0] = words % np.uint64(BUCKETS)
+    out[at, 1] = begins % np.uint64(BEGINNINGS) + np.uint64(BUCKETS)
     return out, first + 2 * np.arange(texts + 1)
 
 
@@ -55,9 +62,9 @@ class Net:
 
     def __init__(self, log_odds: np.ndarray):
         rng = np.random.default_rng(7)
-        self.embed = (0.1 * rng.standard_normal((BUCKETS + 1, WIDTH))).astype(np.float32)
+        self.embed = (0.1 * rng.standard_normal((PAD + 1, WIDTH))).astype(np.float32)
         self.embed[:, 0] = log_odds
-        self.embed[BUCKETS] = 0
+        self.embed[PAD] = 0
         self.filters = [(0.3 * rng.standard_normal((w, WIDTH, FILTERS))).astype(np.float32) for w in SIZES]
         for f in self.filters:
             f[:, 0, : FILTERS // 2] = np.abs(f[:, 0, : FILTERS // 2])
@@ -68,10 +75,10 @@ class Net:
 
     def projected(self) -> np.ndarray:
         cols = [self.embed @ f[j] for f in self.filters for j in range(len(f))]
-        marks = np.zeros((BUCKETS + 1, len(WORDS)), np.float32)
+        marks = np.zeros((PAD + 1, len(WORDS)), np.float32)
         for k, words in enumerate(WORDS.values()):
             ids, first = buckets(pa.array(words))
-            marks[ids[first[:-1]], k] = 1
+            marks[ids[first[:-1], 0], k] = 1
         return np.ascontiguousarray(np.hstack([*cols, marks]), dtype=np.float32)
 
     def pooled(self, seen: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +86,11 @@ class Net:
         texts, n = len(first) - 1, len(ids)
         maxima = np.full((texts, len(self.bias)), -np.inf, np.float32)
         hits = np.zeros((texts, len(WORDS)), np.float64)
-        padded = np.append(ids, [BUCKETS] * (max(SIZES) - 1))
+        padded = _padded(ids)
         for at in range(0, n, BLOCK):
             end = min(n, at + BLOCK)
-            got = seen[padded[at : end + max(SIZES) - 1]]
+            got = seen[padded[at : end + max(SIZES) - 1, 0]]
+            got += seen[padded[at : end + max(SIZES) - 1, 1]]
             parts, c = [], 0
             for w in SIZES:
                 parts.append(sum(got[j : j + end - at, c + j * FILTERS : c + (j + 1) * FILTERS] for j in range(w)))
@@ -114,8 +122,9 @@ class Net:
                 ids = np.concatenate([texts[i] for i in mine])
                 sizes = np.array([len(texts[i]) for i in mine])
                 first = np.concatenate([[0], np.cumsum(sizes)])
-                padded = np.append(ids, [BUCKETS] * (max(SIZES) - 1))
-                conv = np.hstack([sum(self.embed[padded[j : j + len(ids)]] @ f[j] for j in range(len(f))) for f in self.filters])
+                padded = _padded(ids)
+                x = self.embed[padded[:, 0]] + self.embed[padded[:, 1]]
+                conv = np.hstack([sum(x[j : j + len(ids)] @ f[j] for j in range(len(f))) for f in self.filters])
                 maxima = np.maximum.reduceat(conv, first[:-1], axis=0)
                 where = np.empty(maxima.shape, np.int64)
                 rows, cols = np.nonzero(conv == np.repeat(maxima, sizes, axis=0))
@@ -129,9 +138,10 @@ class Net:
                     cut = slice(k * FILTERS, (k + 1) * FILTERS)
                     for j in range(len(f)):
                         spot = padded[where[:, cut] + j]
-                        grads[1 + k][j] = np.einsum("bfd,bf->df", self.embed[spot], back[:, cut])
-                        np.add.at(grads[0], spot, back[:, cut, None] * f[j].T[None])
-                grads[0][BUCKETS] = 0
+                        grads[1 + k][j] = np.einsum("bfd,bf->df", self.embed[spot].sum(2), back[:, cut])
+                        for own in (0, 1):
+                            np.add.at(grads[0], spot[:, :, own], back[:, cut, None] * f[j].T[None])
+                grads[0][PAD] = 0
                 grads[-2], grads[-1] = back.sum(0), hidden.T @ d
                 self.shift -= np.float32(0.02) * d.sum()
                 step += 1
@@ -154,6 +164,10 @@ class Net:
                 self.thresholds[name] = _cut(z[mine], y[mine], share[mine])
 
 
+def _padded(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([ids, np.full((max(SIZES) - 1, 2), PAD, np.int32)])
+
+
 def _cut(z: np.ndarray, y: np.ndarray, share: np.ndarray) -> float:
     """The logit with the least weighted error; the middle of the widest gap among equals."""
     order = np.argsort(z, kind="stable")
@@ -182,17 +196,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
         return pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("toxic"), pa.array(made, pa.binary())], names=["label_id", "toxic", "ids"])
 
     got = sorted((r["label_id"], r["toxic"], bytes(r["ids"])) for r in map_arrow(rows.select("label_id", "toxic", "text"), run, "label_id long, toxic int, ids binary").collect())
-    texts = [np.frombuffer(b, np.uint16).astype(np.int32) for _, _, b in got]
+    texts = [np.frombuffer(b, np.uint16).astype(np.int32).reshape(-1, 2) for _, _, b in got]
     y = np.array([t for _, t, _ in got], np.float32)
     if not len(y) or y.min() == y.max():
         return None
     aside = np.arange(len(y)) % 4 == 3
-    odds = np.zeros((2, BUCKETS + 1))
+    odds = np.zeros((2, PAD + 1))
     for t, toxic, skip in zip(texts, y, aside, strict=True):
         if not skip:
             odds[int(toxic), np.unique(t)] += 1
     n1, n0 = y[~aside].sum(), (1 - y[~aside]).sum()
-    log_odds = np.clip(np.log((odds[1] + 0.5) / (n1 + 1)) - np.log((odds[0] + 0.5) / (n0 + 1)), -2, 4) * (odds.sum(0) >= 5)
+    log_odds = np.clip(np.log((odds[1] + 0.5) / (n1 + 1)) - np.log((odds[0] + 0.5) / (n0 + 1)), -2, 4) * (odds.sum(0) >= 3)
+    log_odds[PAD] = 0
     net = Net((0.5 * log_odds).astype(np.float32))
     net.train([t for t, s in zip(texts, aside, strict=True) if not s], y[~aside])
     share = np.where(y > 0, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))

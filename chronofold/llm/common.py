@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Bytes of an Arrow batch that are worked on at a time.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's readers only (any Hadoop file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +31,8 @@ def hold_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def map_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """Run ``fn(record_batch) -> record_batch | None`` on every batch, cast to ``schema``.
 
-    ``fn`` is built once per task, so a closure's tables are shared by its batches.
+    Batches are cut into slices of about ``BATCH_BYTES`` (single rows may be larger), which bounds
+    what a task holds. ``fn`` comes once per task, so a closure's tables are shared by its slices.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -35,9 +40,11 @@ def map_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     arrow = to_arrow_schema(struct)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield pa.RecordBatch.from_arrays([out.column(n).cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
+        for whole in batches:
+            step = max(1, int(whole.num_rows * BATCH_BYTES / max(1, whole.nbytes)))
+            for at in range(0, whole.num_rows, step):
+                if (out := fn(whole.slice(at, step))) is not None and out.num_rows:
+                    yield pa.RecordBatch.from_arrays([out.column(n).cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
 
     return df.mapInArrow(run, struct)
 

@@ -1,12 +1,15 @@
 """Operator 5: document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as its UTF-8 bytes. Of all k-mers those are kept whose smallest s-mer (by a 64-bit
-hash) is the first or the last one inside: a choice that depends on nothing outside the k-mer, so what
-two texts share yields the same anchors wherever it stands. A fingerprint is the distinct 32-bit
-hashes of the kept k-mers in order of first position. Short texts get finer fingerprints as well, with
-smaller k (``LEVELS``); the finest is the one returned, and two texts are compared on the finest level
-that both have. Likeness is twice the number of common hashes over the sum of both numbers;
-two empty fingerprints are alike in full. A text under k bytes has its own hash for a k-mer.
+A text is read as *units*: runs of at most ``UNIT`` characters other than white space, so a unit starts
+with its word and no text is one endless unit. Of all k-mers (k units in a row) those are kept whose
+smallest s-mer, by a 64-bit hash, is the first or the last one inside: a choice that depends on nothing
+outside the k-mer, so what two texts share yields the same anchors wherever it stands. A fingerprint
+is the distinct 32-bit hashes of the kept k-mers in order of first position.
+
+Short texts get finer fingerprints as well, over their UTF-8 bytes and with small k (``LEVELS``). The
+finest is the one returned, and two texts are compared on the finest level that both have. Likeness
+is twice the number of common hashes over the sum of both numbers; two empty fingerprints are alike
+in full. A text under k units has one hash of all its units for a k-mer.
 
 The next document in ascending order of (doc_id, hash of text) comes from a window over ranges of
 ids: quantiles cut the ids into at most ``RANGES`` ranges, and the first row of each range is also
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: k-mer and s-mer lengths in bytes, and under how many bytes of text they are used; the finest first.
-LEVELS = (("tiny", 3, 1, 24), ("fine", 8, 3, 512), ("coarse", 24, 8, None))
+UNIT = 5
+#: Name, k, s, and under how many bytes of text the level is used; over bytes, but the last over units.
+LEVELS = (("tiny", 3, 1, 24), ("fine", 8, 3, 512), ("coarse", 8, 2, None))
 #: Rows of a range, and ranges, aimed at; the square root of RANGES is the number of quantiles looked at in each of two steps.
 RANGE_ROWS, RANGES = 2500, 4096
 
@@ -35,30 +39,44 @@ def _bind(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def syncmers(data: Column, k: int, s: int) -> Column:
-    """array<int>: hashes of the closed syncmers of a binary column, in order of position."""
-    inner = k - s + 1
+def _closed(hashes: Column, inner: int) -> Column:
+    """Positions (from 1) of the k-mers with ``inner`` s-mers whose smallest is at an edge."""
+    starts = F.sequence(F.lit(1), F.size(hashes) - inner + 1)
+    return F.filter(starts, lambda i: F.least(F.get(hashes, i - 1), F.get(hashes, i + (inner - 2))) == F.array_min(F.slice(hashes, i, inner)))
+
+
+def byte_syncmers(data: Column, k: int, s: int) -> Column:
+    """array<int>: distinct hashes of the closed syncmers of a binary column, in order of position."""
+
+    def made(b: Column) -> Column:
+        size = F.octet_length(b)
+        hashes = F.transform(F.sequence(F.lit(1), size - (s - 1)), lambda i: F.xxhash64(F.substring(b, i, F.lit(s))))
+        kept = _bind(hashes, lambda h: F.transform(_closed(h, k - s + 1), lambda i: F.hash(F.substring(b, i, F.lit(k)))))
+        return F.when(size == 0, F.array().cast("array<int>")).when(size < k, F.array(F.hash(b))).otherwise(F.array_distinct(kept))
+
+    return _bind(data, made)
+
 
-    def kept(b: Column, h: Column) -> Column:
-        last = F.size(h) - inner + 1
-        closed = F.filter(F.sequence(F.lit(1), last), lambda i: F.least(F.get(h, i - 1), F.get(h, i + (inner - 2))) == F.array_min(F.slice(h, i, inner)))
-        return F.array_distinct(F.transform(closed, lambda i: F.hash(F.substring(b, i, F.lit(k)))))
+def unit_syncmers(text: Column, k: int, s: int) -> Column:
+    """The same over the units of a text."""
 
-    def whole(b: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.octet_length(b) - (s - 1)), lambda i: F.xxhash64(F.substring(b, i, F.lit(s))))
-        return F.when(F.octet_length(b) == 0, F.array().cast("array<int>")).when(F.octet_length(b) < k, F.array(F.hash(b))).otherwise(_bind(hashes, lambda h: kept(b, h)))
+    def made(u: Column) -> Column:
+        size = F.size(u)
+        hashes = F.transform(F.sequence(F.lit(0), size - s), lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(s)]))
+        kept = _bind(hashes, lambda h: F.transform(_closed(h, k - s + 1), lambda i: F.hash(F.slice(u, i, k))))
+        return F.when(size == 0, F.array().cast("array<int>")).when(size < k, F.array(F.hash(u))).otherwise(F.array_distinct(kept))
 
-    return _bind(data, whole)
+    return _bind(F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0)), made)
 
 
 def fingerprint(text: Column) -> Column:
     """struct with an array<int> for each level, null where the text is too long for it."""
 
-    def all_levels(b: Column) -> Column:
-        made = [(syncmers(b, k, s) if most is None else F.when(F.octet_length(b) < most, syncmers(b, k, s))).alias(name) for name, k, s, most in LEVELS]
+    def all_levels(t: Column) -> Column:
+        made = [(unit_syncmers(t, k, s) if most is None else F.when(F.octet_length(t) < most, byte_syncmers(t.cast("binary"), k, s))).alias(name) for name, k, s, most in LEVELS]
         return F.struct(*made)
 
-    return _bind(text.cast("binary"), all_levels)
+    return _bind(text, all_levels)
 
 
 def shown(mark: Column) -> Column:

@@ -95,6 +95,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle(mix(docs))
 
 
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mixture in its global order, with the columns of ``docs``."""
+    return shuffle(mix(docs)).select(*docs.columns)
+
+
 ORACLE_SQL = f"""
 with recursive
 z as (select source, cast(sum(coalesce(length(text), 0)) as bigint) as size from documents group by source),

@@ -160,10 +160,10 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     return Model(x, [k for k, _ in got])
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` plus lang_pred and score."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` plus lang_pred and score, under these names."""
     if model is None:
-        return docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.drop(*names).withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
 
     def run(batch: pa.RecordBatch) -> dict:
         langs, scores = [], []
@@ -173,9 +173,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             scores.append(sure)
         letters = batch.column("has_letter__").to_numpy(zero_copy_only=False)
         score = np.where(letters, np.concatenate(scores), 0.0)
-        return {"lang_pred": pa.array([k if ok else UNKNOWN for k, ok in zip(langs, letters, strict=True)]), "score": pa.array(score)}
+        return {names[0]: pa.array([k if ok else UNKNOWN for k, ok in zip(langs, letters, strict=True)]), names[1]: pa.array(score)}
 
-    return with_arrow(docs.withColumn("has_letter__", has_letter(F.col(text))), run, "lang_pred string, score double").drop("has_letter__")
+    return with_arrow(docs.withColumn("has_letter__", has_letter(F.col(text))), run, f"{names[0]} string, {names[1]} double").drop("has_letter__")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,4 +188,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without an identifiable language go; columns stay as they are."""
     model = fit(docs, ~hold_out(F.col("doc_id"), 5, 0))
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return predict(docs, model, names=("lang_pred__", "score__")).where(F.col("lang_pred__") != UNKNOWN).select(*docs.columns)

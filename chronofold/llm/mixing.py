@@ -54,34 +54,34 @@ def cumulative(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, epochs: float, source: str, text: str) -> DataFrame:
-    """One row per source: (mix_source, rate, cdf)."""
+    """One row per source: (mix_source__, rate, cdf)."""
     size = F.coalesce(F.length(text), F.lit(0)).cast("long")
-    sizes = docs.groupBy(F.col(source).alias("mix_source")).agg(F.sum(size).alias("size"))
+    sizes = docs.groupBy(F.col(source).alias("mix_source__")).agg(F.sum(size).alias("size"))
     if weights is None:
         share = F.pow(F.col("size").cast("double"), F.lit(temperature))
     else:
         share = F.lit(0.0)
         for name, weight in weights.items():
-            share = F.when(F.col("mix_source") == name, float(weight)).otherwise(share)
+            share = F.when(F.col("mix_source__") == name, float(weight)).otherwise(share)
     sizes = sizes.withColumn("share", F.when(F.col("size") > 0, share).otherwise(0.0))
     whole = sizes.agg(F.sum(F.round(F.col("share") * 1e6).cast("decimal(38,0)")).cast("double").alias("shares"), F.sum("size").alias("total"))
     rated = sizes.join(F.broadcast(whole), F.lit(True))  # one row
     rate = F.when((F.col("size") > 0) & (F.col("shares") > 0), F.round(F.col("share") * 1e6) / F.col("shares") * F.col("total") * epochs / F.col("size")).otherwise(0.0)
-    return rated.select("mix_source", rate.alias("rate")).withColumn("cdf", cumulative(F.col("rate")))
+    return rated.select("mix_source__", rate.alias("rate")).withColumn("cdf", cumulative(F.col("rate")))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``docs`` repeated to the target weights, plus copy_no (from 1), n_copies and shuffle_key."""
-    docs = docs.drop("copy_no", "n_copies", "shuffle_key", "mix_source", "rate", "cdf", "mix_salt", "mix_u", "salts")
-    table_ = rates(docs, weights, temperature, epochs, source, text)
+    docs = docs.drop("copy_no", "n_copies", "shuffle_key")
+    table_ = rates(docs, weights, temperature, epochs, source, text).select("mix_source__", F.col("cdf").alias("mix_cdf__"))
     if table_.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table_), F.col(source).eqNullSafe(F.col("mix_source")))
+        joined = docs.join(F.broadcast(table_), F.col(source).eqNullSafe(F.col("mix_source__")))
     else:
-        left = docs.withColumn("mix_salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)))
-        right = table_.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        joined = left.join(right, F.col(source).eqNullSafe(F.col("mix_source")) & (left["mix_salt"] == right["mix_salt"])).drop(left["mix_salt"]).drop(right["mix_salt"])
-    counted = joined.withColumn("mix_u", uniform(seed, F.col(doc_id))).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("mix_u"))).cast("long"))
-    copies = counted.drop("mix_source", "rate", "cdf", "mix_u").where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+        left = docs.withColumn("mix_salt__", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)))
+        right = table_.withColumn("mix_salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        joined = left.join(right, F.col(source).eqNullSafe(F.col("mix_source__")) & (left["mix_salt__"] == right["mix_salt__"])).drop(left["mix_salt__"]).drop(right["mix_salt__"])
+    counted = joined.withColumn("mix_u__", uniform(seed, F.col(doc_id))).withColumn("n_copies", F.size(F.filter("mix_cdf__", lambda c: c <= F.col("mix_u__"))).cast("long"))
+    copies = counted.drop("mix_source__", "mix_cdf__", "mix_u__").where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     return copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
 
 

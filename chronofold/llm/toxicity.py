@@ -216,10 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     return net
 
 
-def score(docs: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
-    """``docs`` plus score (0 to 1) and predicted (0 or 1)."""
+def score(docs: DataFrame, net: Net | None, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` plus score (0 to 1) and predicted (0 or 1), under these names."""
     if net is None:
-        return docs.drop("score", "predicted").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return docs.drop(*names).withColumns({names[0]: F.lit(0.0), names[1]: F.lit(0)})
     built: list = []
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -227,9 +227,9 @@ def score(docs: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
             built.append(net.projected())
         maxima, hits = net.pooled(built[0], *buckets(batch.column(text)))
         p = 1 / (1 + np.exp(-np.clip((net.logits(maxima) - net.thresholds_of(hits)).astype(np.float64), -50, 50)))
-        return {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
+        return {names[0]: pa.array(p), names[1]: pa.array((p >= 0.5).astype(np.int32))}
 
-    return with_arrow(docs, run, "score double, predicted int")
+    return with_arrow(docs, run, f"{names[0]} double, {names[1]} int")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,4 +241,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; columns stay as they are."""
     net = fit(docs, table(spark, sf_dir, "labels"), ~hold_out(F.col("label_id"), 5, 0))
-    return score(docs, net).where(F.col("predicted") == 0).select(*docs.columns)
+    return score(docs, net, names=("score__", "predicted__")).where("predicted__ = 0").select(*docs.columns)

@@ -60,7 +60,7 @@ def replace_first(text: Column, find: str, put: str) -> Column:
 
 def delimited(text: Column, mark: str = ",") -> Column:
     """Entries between marks, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, re.escape(mark)), F.trim), lambda e: e != "")
+    return F.filter(F.transform(F.split(text, re.escape(mark)), lambda e: F.trim(e)), lambda e: e != "")
 
 
 def lines(text: Column) -> Column:

@@ -547,3 +547,128 @@ def event_model_edges(spark, d):
 
     s = Slice("open account", triggers=("http",), commands=("open",), handlers=("opens",), events=("opened",), projections=("account",), read_models=("accounts",))
     return model(spark, [s, s])[1]
+
+
+# ---- more of each kind ----------------------------------------------------------------------------------------
+
+
+@query(f"with {EV} select stream_id, coalesce(bool_or(event_type = 'signup'), false) as has_signup, not coalesce(bool_or(event_type = 'error'), false) as no_error from e group by stream_id")
+def event_presence(spark, d):
+    any_of = lambda t: F.coalesce(F.bool_or(F.col("event_type") == t), F.lit(False))
+    return adapted(spark, d).groupBy("stream_id").agg(any_of("signup").alias("has_signup"), (~any_of("error")).alias("no_error"))
+
+
+@query(f"with {EV}, r as (select *, row_number() over (partition by tenant_id, k order by sequence desc) as rn from e where event_type in ('signup', 'purchase')) select tenant_id, cast(k as varchar) as natural_key, stream_id from r where rn = 1")
+def natural_key_index(spark, d):
+    from .plans.projections import natural_keys
+
+    return natural_keys(adapted(spark, d), {"signup": F.col("k"), "purchase": F.col("k")})
+
+
+@query("with g as (select event_id, 't' || cast(user_id % 3 as varchar) as tenant_id from events), l as (select *, lead(event_id) over (partition by tenant_id order by event_id) as nxt from g) select tenant_id, coalesce(min(event_id) filter (where nxt > event_id + 1), max(event_id)) as mark, max(event_id) as highest from l group by tenant_id")
+def high_water_by_tenant(spark, d):
+    from .streaming.highwater import high_water_mark
+
+    return high_water_mark(adapted(spark, d), "tenant_id")
+
+
+@query("with g as (select event_id from events where event_id % 97 <> 96), l as (select event_id, lead(event_id) over (order by event_id) as nxt from g) select coalesce(min(event_id) filter (where nxt > event_id + 1 and nxt > 500), max(event_id)) as mark, max(event_id) as highest from l")
+def stale_gap_skip(spark, d):
+    from .streaming.highwater import high_water_mark
+
+    return high_water_mark(adapted(spark, d).where("sequence % 97 <> 96"), skip_to=500)
+
+
+@query(f"with {EV} select stream_id, event_type from e where sequence > 500 and stream_id not in (select stream_id from e where sequence <= 500)")
+def streams_started(spark, d):
+    """Appends after a point whose stream did not exist before it: the check of a stream's start, as an anti-join."""
+    log = adapted(spark, d)
+    return log.where("sequence > 500").join(log.where("sequence <= 500").select("stream_id").distinct(), "stream_id", "left_anti").select("stream_id", "event_type")
+
+
+@query(f"with {EV} select sequence, stream_id = 7 as is_archived from e where sequence <= 400")
+def archive_stream(spark, d):
+    from .sources.rewrites import archive
+
+    log = adapted(spark, d).where("sequence <= 400").withColumn("is_archived", F.lit(None).cast("boolean"))
+    return archive(log, F.col("stream_id") == 7).select("sequence", "is_archived")
+
+
+@query(f"with {EV} select sequence, event_type from e where stream_id % 5 <> 0")
+def archived_filter(spark, d):
+    return reads.visible(adapted(spark, d).withColumn("is_archived", F.col("stream_id") % 5 == 0)).select("sequence", "event_type")
+
+
+@query(f"with {EV} select sequence, case when sequence = 77 then 'replaced' else event_type end as event_type, case when sequence = 77 then 'new' else cast(k as varchar) end as data from e")
+def replace_event(spark, d):
+    from .sources.rewrites import replace
+
+    log = adapted(spark, d).select("sequence", "event_type", F.col("k").cast("string").alias("data"), F.create_map().cast("map<string,string>").alias("headers"))
+    return replace(log, 77, "replaced", "new").select("sequence", "event_type", "data")
+
+
+@query(f"with {EV} select sequence, coalesce('over ' || c_name, cast(k as varchar)) as data from e left join customer on c_custkey = sequence and c_custkey < 50")
+def overwrite_events(spark, d):
+    from .sources.rewrites import overwrite
+
+    none = F.create_map().cast("map<string,string>")
+    log = adapted(spark, d).select("sequence", F.col("k").cast("string").alias("data"), none.alias("headers"))
+    new = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("sequence"), F.concat(F.lit("over "), "c_name").alias("data"), none.alias("headers"))
+    return overwrite(log, new, "sequence").select("sequence", "data")
+
+
+@query(f"with {EV}, g as (select * from e where sequence <> 10), {SIGNUP_SQL.format(key='stream_id', src='g')} select cast(stream_id as varchar) as stream_id, total, purchases from f")
+def skip_and_reslice(spark, d):
+    """A failing event is left out and its range folded again."""
+    return signup_fold().run(slices(spark, d).where("sequence <> 10")).select(F.col("slice_id").alias("stream_id"), money("total"), "purchases")
+
+
+@query(f"with {EV}, {ONE} select cast(stream_id as varchar) as slice_id, 'Store' as action from f union all select distinct cast(stream_id as varchar), 'Delete' from e where stream_id not in (select stream_id from f)")
+def sink_actions(spark, d):
+    from .plans.projections import actions
+
+    every = slices(spark, d)
+    before = ClosedForm(measures={"n": Measure("count")}).run(every)
+    return actions(before, signup_fold().run(every)).select("slice_id", "action")
+
+
+@query(f"with {EV} select tenant_id, event_type, {COUNT} from e group by rollup (tenant_id, event_type)")
+def rollup_counts(spark, d):
+    return adapted(spark, d).rollup("tenant_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"with {EV} (select distinct stream_id from e where event_type = 'click' intersect select stream_id from e where event_type = 'purchase') except select stream_id from e where event_type = 'error' and k = 1")
+def set_operations(spark, d):
+    log = adapted(spark, d)
+    of = lambda t: log.where(F.col("event_type") == t).select("stream_id")
+    return of("click").intersect(of("purchase")).subtract(log.where("event_type = 'error' and k = 1").select("stream_id"))
+
+
+@query(f"with {EV} select date_trunc('hour', timestamp) as hour, event_type, {COUNT} from e group by all")
+def tumbling_windows(spark, d):
+    return adapted(spark, d).groupBy(F.window("timestamp", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+@query(f"with {EV}, g as (select *, case when timestamp < lag(timestamp) over w + interval 6 hour then 0 else 1 end as fresh from e window w as (partition by stream_id order by timestamp)), s as (select *, sum(fresh) over (partition by stream_id order by timestamp) as session from g) select stream_id, min(timestamp) as started, cast(count(*) as bigint) as n from s group by stream_id, session")
+def session_windows(spark, d):
+    return adapted(spark, d).groupBy("stream_id", F.session_window("timestamp", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("stream_id", F.col("w.start").alias("started"), "n")
+
+
+@query(f"with {EV} select cast(k as varchar) as slice_id, max(sequence) as version, cast(count(*) as bigint) as n from e where event_type = 'click' and k > 0 group by k")
+def multi_stream_version(spark, d):
+    """A multi-stream read model's version is the sequence of its last event."""
+    s = slicing.Slicer("across").identity(F.col("k"), "click").slice(adapted(spark, d))
+    return ClosedForm(measures={"n": Measure("count")}).run(s).select("slice_id", F.col("last_sequence").alias("version"), "n")
+
+
+@query("select event_id, event_id % 2 = 0 and event_type = 'click' as hit from events")
+def predicate_algebra(spark, d):
+    """Column predicates combine: all of some, any of some, none."""
+    all_of = (F.col("sequence") % 2 == 0) & (F.col("event_type") == "click")
+    return adapted(spark, d).select(F.col("sequence").alias("event_id"), all_of.alias("hit"))
+
+
+@query(f"with {EV} select sequence, row_number() over (partition by stream_id order by sequence) = 1 as first_of_stream, cast(lead(sequence) over (partition by stream_id order by sequence) as bigint) as next_sequence from e where event_type <> 'view'")
+def stream_neighbours(spark, d):
+    w = Window.partitionBy("stream_id").orderBy("sequence")
+    return adapted(spark, d).where("event_type <> 'view'").select("sequence", (F.row_number().over(w) == 1).alias("first_of_stream"), F.lead("sequence").over(w).alias("next_sequence"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_arrow
+from .common import small_batches, table, with_arrow
 
 LEAF = 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -139,6 +139,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: ``docs`` plus ids, n_tokens and whether decoding gives the text back."""
+    small_batches(spark)
     both = decode(encode(docs))
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return both.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": same}).drop("decoded")

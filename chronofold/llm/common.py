@@ -13,11 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..checkpoint import checkpointed as checkpointed
+
 
 #: Bytes of an Arrow batch that are worked on at a time.
 BATCH_BYTES = 8 << 20
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Makes the session hand Python at most ``rows`` rows at a time, where whole rows of long texts go there and back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's readers only (any Hadoop file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +54,9 @@ def map_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
             for at in range(0, whole.num_rows, step):
                 if (out := fn(whole.slice(at, step))) is not None and out.num_rows:
                     yield pa.RecordBatch.from_arrays([out.column(n).cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
+                del out
+            del whole
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, struct)
 
@@ -180,19 +192,3 @@ def with_arrow(df: DataFrame, fn, fields: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(made[f.name] for f in added.fields)], names=[*kept, *(f.name for f in added.fields)])
 
     return map_arrow(df, run, StructType([*keep, *added.fields]))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage by a reliable checkpoint in the cluster's shared folder.
-
-    The folder is ``spark.checkpoint.dir``; one is made only where that is unset, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="chronofold-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, hold_out, map_arrow, table, text_bytes, with_arrow
+from .common import LOWER, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
 
 #: Languages of a family; others are families of their own.
 FAMILIES = {
@@ -39,7 +39,7 @@ SAMPLE = 4000
 UNKNOWN = "und"
 #: Bytes as features see them.
 _SEEN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in LOWER], np.uint8)
-_CELLS = 1 << 21
+_CELLS = 1 << 19
 
 
 def family(lang: str) -> str:
@@ -58,12 +58,12 @@ def counts(data: np.ndarray, offsets: np.ndarray):
         padded = np.full(end - begin + (high - low) + 2, 32, np.uint32)
         padded[1 + np.arange(end - begin) + np.repeat(np.arange(high - low), sizes)] = _SEEN[data[begin:end]]
         out = np.zeros((high - low) * DIMENSIONS, np.int64)
-        for at in range(0, len(owner), 1 << 22):
-            part = padded[at : at + (1 << 22) + 2]
+        for at in range(0, len(owner), 1 << 20):
+            part = padded[at : at + (1 << 20) + 2]
             two = part[:-2] * np.uint32(257) + part[1:-1]
             three = (two * np.uint32(257) + part[2:]) * np.uint32(2654435761)
             two *= np.uint32(2246822519)
-            own = owner[at : at + (1 << 22)] * DIMENSIONS
+            own = owner[at : at + (1 << 20)] * DIMENSIONS
             for code in (two, three):
                 out += np.bincount(own + (code[: len(own)] >> np.uint32(20)).astype(np.int64), minlength=len(out))
         yield low, out.reshape(high - low, DIMENSIONS)
@@ -187,5 +187,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without an identifiable language go; columns stay as they are."""
+    small_batches(spark)
     model = fit(docs, ~hold_out(F.col("doc_id"), 5, 0))
     return predict(docs, model, names=("lang_pred__", "score__")).where(F.col("lang_pred__") != UNKNOWN).select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, hash_words, hold_out, map_arrow, table, text_bytes, with_arrow
+from .common import SPACE, hash_words, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
 
 #: Rows for words, then for beginnings of words; the row PAD after them is zero.
 BUCKETS, BEGINNINGS = 1 << 15, 1 << 14
@@ -240,5 +240,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; columns stay as they are."""
+    small_batches(spark)
     net = fit(docs, table(spark, sf_dir, "labels"), ~hold_out(F.col("label_id"), 5, 0))
     return score(docs, net, names=("score__", "predicted__")).where("predicted__ = 0").select(*docs.columns)

@@ -181,6 +181,7 @@ def test_lm_counts(spark, odd_dir, monkeypatch, block_chars):
 
     from chronofold.llm.common import hold_out
 
+    monkeypatch.setattr(lmscore, "STEPS", 10)
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     got = lmscore.score(docs, ~hold_out(F.col("doc_id"), 7, 2), block_chars=block_chars).collect()
     held = lambda i: binascii.crc32(("" if i is None else str(i)).encode()) % 7 == 2

@@ -20,11 +20,11 @@ from ..checkpoint import checkpointed as checkpointed
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Makes the session hand Python at most ``rows`` rows at a time, where whole rows of long texts go there and back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Makes the session read and hand Python at most ``rows`` rows at a time, where whole rows of long texts go there and back."""
+    for key, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096")):
+        if int(spark.conf.get(key, default)) > rows:
+            spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,18 +4,24 @@ Tokens are 64-bit hashes of the words (A-Z lower-cased, runs of bytes outside sp
 carriage return), then one end for each text.
 
 *Counts.* Every training word is counted: in each block of rows first, then by key. Totals are
-aggregates of that table; nothing of it is sampled and only its ``MODEL_WORDS`` most frequent rows
+aggregates of that table; nothing of it is sampled and only its ``OWN_SLOTS`` most frequent rows
 reach the driver. Documents are dealt into blocks of about ``BLOCK_CHARS`` characters; a block asks
 for its distinct words, the answers are joined by word and meet the block's texts again, so a very
 frequent word costs one row for each block and no task holds the whole vocabulary.
 
-*Model.* The model's words are the most frequent ones, the end, and one class for the rest. Two
-previous words predict the next: ``s(w | a, b) = (C2 r_a + C1 r_b) . q_w + bias_w``. Its training data
-are the counts of all class trigrams of all training texts (a table whose size the model's
-words bound). It is trained by noise-contrastive estimation against the unigrams in numpy. Then one batched
-matrix product for all contexts and a softmax give normalised log10 probabilities. A word of the
-rest has the class's probability times its add-one share of the class's training tokens, unseen
-words together being one more word; so the probabilities of all next tokens sum to one.
+*Model.* Every word has a slot: each of the ``OWN_SLOTS`` most frequent words one of its own, all others
+one of at most ``SHARED_SLOTS`` shared ones by hash, and the end one; their number grows with the distinct words up
+to these bounds, which the driver's and a task's memory set. Two previous slots predict the next:
+``h = C2 r_a + C1 r_b``; slots lie in classes of about the square root of their number, and
+``P(slot | a, b) = P(class | h) P(slot | class, h)``, each a softmax of ``h . q + bias``, so it is normalised
+exactly. A word of a shared slot has the slot's probability times its add-one share of the slot's
+training tokens, unseen words of the slot together being one more word; so the probabilities of all
+next tokens sum to one.
+
+*Training.* Noise-contrastive estimation against the unigrams, for classes and within a class. Every task goes
+through all slot trigrams of its training texts, counted in pieces, in weighted mini-batches that start
+from the same parameters, and the tasks' parameters are averaged, a row by how often each task met it. So the steps grow with the
+corpus; a corpus of less than ``STEPS`` mini-batches is gone through several times. Trigrams stay on executors.
 
 Null texts are empty: one token, the end. A null id counts as '' in the split. Without training rows
 all counts are 0 and the base score is 0. Repeated rows are scored and counted each on their own.
@@ -30,12 +36,17 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, hash_words, hold_out, map_arrow, table, text_bytes
 
-MODEL_WORDS = 126
+OWN_SLOTS, SHARED_SLOTS = 32_768, 32_768
 BLOCK_CHARS = 32_000_000
 WIDTH = 24
-NOISE = 12
+CLASS_NOISE, NOISE = 64, 2
 STEPS, BATCH = 400, 8192
+RATE = 0.1
+#: Characters that a task of the training goes through.
+TASK_CHARS = 48_000_000
 PIECE = 8 << 20
+#: Contexts whose softmax is made at a time, and parameter rows that are averaged at a time.
+CONTEXTS, ROWS = 16_384, 1024
 
 
 def token_pieces(column: pa.Array):
@@ -59,86 +70,197 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_arrow(docs.select(text), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values)."""
+    order = np.argsort(at)
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Model:
-    """Indices: 0 .. k-1 the frequent words, k the rest, k+1 the end; as context k+1 is the begin."""
+    """Slots: 0 .. own-1 the frequent words, then the shared ones, then the end; as context the end is the begin.
 
-    def __init__(self, words: np.ndarray):
+    ``params`` has a row of WIDTH weights and a bias for each slot as context, slot and class as targets, then C2 and C1.
+    """
+
+    def __init__(self, words: np.ndarray, shared: int):
         self.order = np.argsort(words)
         self.words = words[self.order]
-        self.rest, self.end = len(words), len(words) + 1
-        self.classes = len(words) + 2
-        self.table = np.full((self.classes**2, self.classes), -np.log10(self.classes))
+        self.own, self.shared = len(words), shared
+        self.end = self.own + shared
+        self.slots = self.end + 1
+        self.size = max(1, int(np.ceil(np.sqrt(self.slots))))
+        self.classes = -(-self.slots // self.size)
+        rng = np.random.default_rng(5)
+        self.starts = np.cumsum([0, self.slots, self.slots, self.classes, WIDTH, WIDTH])
+        self.params = (0.1 * rng.standard_normal((self.starts[-1], WIDTH + 1))).astype(np.float32)
+        _, _, _, c2, c1 = self.parts(self.params)
+        c2[:, :WIDTH], c1[:, :WIDTH] = np.eye(WIDTH) * 0.5, np.eye(WIDTH)
+
+    def parts(self, params: np.ndarray) -> list[np.ndarray]:
+        return [params[a:b] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
+
+    def weigh(self, tokens: np.ndarray, distinct: np.ndarray) -> None:
+        """Training tokens of each slot, and distinct words of it."""
+        self.rest = np.log10(tokens + distinct + 1.0)
+        n = tokens + 0.5
+        self.cum = np.cumsum(n / n.sum())
+        first = np.arange(0, self.slots, self.size)
+        mass = np.add.reduceat(n, first)
+        self.class_cum = np.cumsum(mass / mass.sum())
+        self.low = np.concatenate([[0.0], self.cum])[first]
+        self.high = self.cum[np.minimum(first + self.size, self.slots) - 1]
+        within = n / np.repeat(mass, np.diff([*first, self.slots]))
+        self.log_class = np.log(mass / mass.sum()).astype(np.float32)
+        self.log_within = np.log(within).astype(np.float32)
+        _, q, c, _, _ = self.parts(self.params)
+        q[:, WIDTH], c[:, WIDTH] = self.log_within, self.log_class
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
+        other = self.own + (hashes.view(np.uint64) % np.uint64(self.shared)).astype(np.int64)
         if not len(self.words):
-            return np.full(len(hashes), self.rest, np.int64)
+            return other
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.order[at], self.rest)
+        return np.where(self.words[at] == hashes, self.order[at], other)
 
     def sequence(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes of each token's context, classes of the tokens, offsets), an end after each text."""
+        """(codes of each token's context, slots of the tokens, offsets), an end after each text."""
         texts = len(first) - 1
         offsets = first + np.arange(texts + 1)
-        cls = np.full(len(hashes) + texts, self.end, np.int64)
-        cls[np.arange(len(hashes)) + np.repeat(np.arange(texts), np.diff(first))] = self.index(hashes)
-        one = np.concatenate([[self.end], cls[:-1]]) if len(cls) else cls
-        two = np.concatenate([[self.end], one[:-1]]) if len(cls) else cls
+        slot = np.full(len(hashes) + texts, self.end, np.int64)
+        slot[np.arange(len(hashes)) + np.repeat(np.arange(texts), np.diff(first))] = self.index(hashes)
+        one = np.concatenate([[self.end], slot[:-1]]) if len(slot) else slot
+        two = np.concatenate([[self.end], one[:-1]]) if len(slot) else slot
         two[offsets[:-1]] = self.end  # the token before a text's first is the last text's end, which reads as begin
-        return two * self.classes + one, cls, offsets
-
-    def train(self, codes: np.ndarray, n: np.ndarray) -> None:
-        """codes: context code times classes plus class, with their counts."""
-        if not len(codes):
-            return
-        rng, k = np.random.default_rng(5), self.classes
-        a, b, w = codes // (k * k), codes // k % k, codes % k
-        unigram = np.bincount(w, n, k) + 0.5
-        unigram /= unigram.sum()
-        order = np.argsort(codes)
-        a, b, w, n = a[order], b[order], w[order], n[order].astype(np.float64)
-        draw = np.cumsum(n / n.sum())
-        noise_draw, log_noise = np.cumsum(unigram), np.log(unigram * NOISE)
-        params = [0.1 * rng.standard_normal((k, WIDTH)), np.eye(WIDTH) * 0.5, np.eye(WIDTH), 0.1 * rng.standard_normal((k, WIDTH)), np.log(unigram)]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for step in range(1, STEPS + 1):
-            r, c2, c1, q, bias = params
-            pick = np.minimum(np.searchsorted(draw, rng.random(BATCH)), len(n) - 1)
-            x, y = r[a[pick]], r[b[pick]]
-            hidden = x @ c2 + y @ c1
-            noise = np.minimum(np.searchsorted(noise_draw, rng.random((BATCH, NOISE))), k - 1)
-            seen = np.concatenate([w[pick][:, None], noise], 1)
-            s = np.take_along_axis(hidden @ q.T + bias, seen, 1)  # every class's score once; noise only selects
-            d = 1 / (1 + np.exp(-np.clip(s - log_noise[seen], -30, 30)))
-            d[:, 0] -= 1
-            d /= BATCH
-            spread = np.bincount((np.arange(BATCH)[:, None] * k + seen).ravel(), d.ravel(), BATCH * k).reshape(BATCH, k)
-            back = spread @ q
-            gr = np.zeros_like(r)
-            np.add.at(gr, a[pick], back @ c2.T)
-            np.add.at(gr, b[pick], back @ c1.T)
-            rate = 0.02 * (1 - 0.9 * step / STEPS)
-            for p, g, one, two in zip(params, [gr, x.T @ back, y.T @ back, spread.T @ hidden, spread.sum(0)], m, v, strict=True):
-                one *= 0.9
-                one += 0.1 * g
-                two *= 0.999
-                two += 0.001 * g * g
-                p -= rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)
-        r, c2, c1, q, bias = params
-        hidden = (r @ c2)[:, None, :] + (r @ c1)[None, :, :]
-        s = hidden.reshape(k * k, WIDTH) @ q.T + bias
-        s -= s.max(1, keepdims=True)
-        self.table = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-
-
-def trigrams(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(code, n): counts of all class trigrams in all texts."""
+        return two * self.slots + one, slot, offsets
+
+    def step(self, params: np.ndarray, seen: np.ndarray, rng, a: np.ndarray, b: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
+        """One mini-batch by Adagrad, in place; ``seen`` holds the sums of squared gradients."""
+        r, q, c, c2, c1 = self.parts(params)
+        c2, c1 = c2[:, :WIDTH], c1[:, :WIDTH]
+        x, y, weight = r[a, :WIDTH], r[b, :WIDTH], (n / n.sum()).astype(np.float32)[:, None]
+        hidden = x @ c2 + y @ c1
+        full = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], 1)
+        cls = w // self.size
+        # classes: one set of noise for the mini-batch
+        noise = np.minimum(np.searchsorted(self.class_cum, rng.random(CLASS_NOISE)), self.classes - 1)
+        bias = self.log_class + np.float32(np.log(CLASS_NOISE))
+        hit = weight[:, 0] * (1 / (1 + np.exp(-np.clip((full * c[cls]).sum(1) - bias[cls], -30, 30))) - 1)
+        miss = weight / (1 + np.exp(-np.clip(full @ c[noise].T - bias[noise], -30, 30)))
+        back = hit[:, None] * c[cls] + miss @ c[noise]
+        gc = _sums(np.concatenate([cls, noise]), np.concatenate([hit[:, None] * full, miss.T @ full]))
+        # within the class: noise of its own for each row
+        low, high = self.low[cls][:, None], self.high[cls][:, None]
+        other = np.searchsorted(self.cum, low + rng.random((len(w), NOISE)) * (high - low), "right")
+        other = np.clip(other, (cls * self.size)[:, None], np.minimum((cls + 1) * self.size, self.slots)[:, None] - 1)
+        at = np.concatenate([w[:, None], other], 1)
+        rows = q[at]
+        d = 1 / (1 + np.exp(-np.clip(np.einsum("bnd,bd->bn", rows, full) - self.log_within[at] - np.float32(np.log(NOISE)), -30, 30)))
+        d[:, 0] -= 1
+        d *= weight
+        back += np.einsum("bn,bnd->bd", d, rows)
+        back = back[:, :WIDTH]
+        gq = _sums(at.ravel(), (d[:, :, None] * full[:, None, :]).reshape(-1, WIDTH + 1))
+        gr = _sums(np.concatenate([a, b]), np.concatenate([back @ c2.T, back @ c1.T]))
+        updates = [(gr[0], np.pad(gr[1], ((0, 0), (0, 1)))), (gq[0] + self.starts[1], gq[1]), (gc[0] + self.starts[2], gc[1])]
+        updates += [(np.arange(self.starts[k], self.starts[k + 1]), np.pad(g, ((0, 0), (0, 1)))) for k, g in ((3, x.T @ back), (4, y.T @ back))]
+        for i, g in updates:
+            seen[i] += g * g
+            params[i] -= np.float32(RATE) * g / (np.sqrt(seen[i]) + np.float32(1e-8))
+
+    def finish(self, params: np.ndarray) -> None:
+        r, q, c, c2, c1 = self.parts(params)
+        self.two, self.one = r[:, :WIDTH] @ c2[:, :WIDTH], r[:, :WIDTH] @ c1[:, :WIDTH]
+        self.q, self.c = q, c
+        del self.params
+
+    def log10(self, codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """log10 P(slot | context) of each pair."""
+
+        def log_softmax(h: np.ndarray, rows: np.ndarray, at) -> np.ndarray:
+            s = h @ rows[:, :WIDTH].T
+            s += rows[:, WIDTH]
+            s -= s.max(1, keepdims=True)
+            hit = s[np.arange(len(s)), at].astype(np.float64)
+            return hit - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+
+        out, cls = np.zeros(len(slots)), slots // self.size
+        order = np.argsort(cls, kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for k in np.flatnonzero(np.diff(bounds)):
+            rows = self.q[k * self.size : (k + 1) * self.size]
+            for low in range(bounds[k], bounds[k + 1], CONTEXTS):
+                i = order[low : min(low + CONTEXTS, bounds[k + 1])]
+                h = self.two[codes[i] // self.slots] + self.one[codes[i] % self.slots]
+                out[i] = log_softmax(h, self.c, k) + log_softmax(h, rows, slots[i] - k * self.size)
+        return out / np.log(10)
+
+
+def slot_counts(counts: DataFrame, model: Model) -> DataFrame:
+    """(slot, n, v): training tokens and distinct words of every slot that has any."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [ctx * model.classes + cls for ctx, cls, _ in (model.sequence(h, f) for _, h, f in token_pieces(batch.column(text)))]
-        code, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-
-    return map_arrow(docs.select(text), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        slot = model.index(batch.column("word").to_numpy())
+        rows, sums = _sums(slot, np.stack([batch.column("n").to_numpy(), np.ones(len(slot), np.int64)], 1))
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["slot", "n", "v"])
+
+    return map_arrow(counts, run, "slot long, n long, v long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+
+
+def train(docs: DataFrame, model: Model, tokens: int, chars: int, text: str = "text") -> None:
+    """Train on all slot trigrams of all texts; only parameters leave the executors."""
+    epochs = max(1, -(-STEPS * BATCH // max(1, tokens)))
+
+    def run(batches):
+        rng, params, kept = np.random.default_rng(7), model.params.copy(), []
+        seen, met = np.zeros_like(params), np.zeros(len(params))
+
+        def learn(code: np.ndarray, slot: np.ndarray, n: np.ndarray) -> None:
+            order = rng.permutation(len(code))
+            for low in range(0, len(order), BATCH):
+                i = order[low : low + BATCH]
+                a, b, w = code[i] // model.slots, code[i] % model.slots, slot[i]
+                model.step(params, seen, rng, a, b, w, n[i])
+            for at in (code // model.slots, code % model.slots, slot + model.starts[1], slot // model.size + model.starts[2]):
+                met[:] += np.bincount(at, n, len(met))
+            met[model.starts[3] :] += n.sum()
+
+        for whole in batches:
+            for _, h, f in token_pieces(whole.column(0)):
+                code, slot, _ = model.sequence(h, f)
+                rows, n = np.unique(code * model.slots + slot, return_counts=True)
+                piece = (rows // model.slots, rows % model.slots, n.astype(np.float64))
+                learn(*piece)
+                if epochs > 1:  # less than STEPS mini-batches in all
+                    kept.append(piece)
+        for _ in range(epochs - 1):
+            for piece in kept:
+                learn(*piece)
+        if met.any():
+            for low in range(0, len(params), ROWS):
+                at = low + np.flatnonzero(met[low : low + ROWS])
+                if len(at):
+                    made = [pa.array([low // ROWS], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), met[at], params[at]))]
+                    yield pa.RecordBatch.from_arrays(made, names=["part", "at", "met", "data"])
+
+    def add(one: pa.Table) -> pa.Table:
+        part = one.column("part")[0].as_py()
+        total = np.zeros((ROWS, WIDTH + 2))
+        for at, m, data in zip(*(one.column(k) for k in ("at", "met", "data")), strict=True):
+            i, m = np.frombuffer(at.as_py(), np.int32) - part * ROWS, np.frombuffer(m.as_py())[:, None]
+            total[i] += np.concatenate([np.frombuffer(data.as_py(), np.float32).reshape(-1, WIDTH + 1) * m, m], 1)
+        return pa.table([one.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "data"])
+
+    rows = docs.select(text).coalesce(max(1, -(-chars // TASK_CHARS)))  # each task sends its parameters
+    made = rows.mapInArrow(run, "part int, at binary, met binary, data binary").groupBy("part").applyInArrow(add, "part int, data binary")
+    out = model.params.copy()
+    for row in made.collect():  # the parameters once
+        total = np.frombuffer(row["data"]).reshape(-1, WIDTH + 2)
+        low, m = row["part"] * ROWS, total[: len(out) - row["part"] * ROWS, -1]
+        total = total[: len(m)]
+        out[low : low + len(total)][m > 0] = (total[m > 0, :-1] / m[m > 0, None]).astype(np.float32)
+    model.finish(out)
 
 
 def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, keep: tuple = ()) -> DataFrame:
@@ -147,16 +269,19 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
     ``usable``: a boolean column; the model and the counts learn from the rows where it holds.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(usable, F.lit(False)).alias("usable"), *keep)
-    train = docs.where("usable")
-    counts = checkpointed(word_counts(train))
+    usable_docs = docs.where("usable")
+    counts = checkpointed(word_counts(usable_docs))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = docs.agg(F.coalesce(F.sum(F.col("usable").cast("long")), F.lit(0)).alias("ends"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     tokens, distinct = whole["n"] + size["ends"], whole["v"] + (size["ends"] > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(MODEL_WORDS).collect()
-    model = Model(np.array([r["word"] for r in top], np.int64))
-    rest_tokens, rest_distinct = whole["n"] - sum(r["n"] for r in top), whole["v"] - len(top)
-    got = trigrams(train, model).toPandas()  # at most (MODEL_WORDS + 2) ** 3 rows
-    model.train(got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+    top = counts.orderBy(F.desc("n"), "word").limit(OWN_SLOTS).toPandas()
+    model = Model(top["word"].to_numpy(np.int64), max(1, min(SHARED_SLOTS, whole["v"] - len(top))))
+    got = slot_counts(counts, model).toPandas()  # at most OWN_SLOTS + SHARED_SLOTS rows
+    of_slot = np.zeros((2, model.slots))
+    of_slot[:, got["slot"].to_numpy(np.int64)] = got[["n", "v"]].to_numpy(np.float64).T
+    of_slot[0, model.end] = size["ends"]
+    model.weigh(*of_slot)
+    train(usable_docs, model, int(tokens), int(size["chars"]))
     blocks = max(1, -(-int(size["chars"]) // block_chars))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
@@ -173,7 +298,6 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
     asked = map_arrow(dealt.select("block", "text"), ask, "block int, word long")
     answers = asked.join(counts, "word").select("block", "word", "n").distinct()
     base_of = np.log10(tokens + distinct + 1)
-    rest_of = np.log10(rest_tokens + rest_distinct + 1)
     kept = [f for f in docs.select(*keep).schema.fields]
     names = [f.name for f in kept]
     schema = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -190,12 +314,13 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
             if len(word):
                 at = np.minimum(np.searchsorted(word, h), len(word) - 1)
                 count = np.where(word[at] == h, n[at], 0)
-            ctx, cls, offsets = model.sequence(h, f)
-            c = np.full(len(cls), ends, np.int64)
-            is_word = np.ones(len(cls), bool)
+            ctx, slot, offsets = model.sequence(h, f)
+            c = np.full(len(slot), ends, np.int64)
+            is_word = np.ones(len(slot), bool)
             is_word[offsets[1:] - 1] = False
             c[is_word] = count
-            log = model.table[ctx, cls] + np.where(cls == model.rest, np.log10(c + 1.0) - rest_of, 0)
+            shared = (slot >= model.own) & (slot < model.end)
+            log = model.log10(ctx, slot) + np.where(shared, np.log10(c + 1.0) - model.rest[slot], 0)
             sums = [np.add.reduceat(x, offsets[:-1]) for x in (np.log10(c + 1.0) - base_of, log, (c > 0).astype(np.int64))]
             out.append((np.diff(offsets), sums[2], sums[0], sums[1]))
         columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(4)]

@@ -6,6 +6,11 @@ and looked up among the known licence sentences. The identifiers of a text, in o
 against the licence rules: a rule is an ordered list of identifiers that must occur in that order;
 other identifiers may stand between.
 
+Published texts are wrapped, and stand behind comment marks. So a known sentence is also found where
+it fills several lines in a row that no blank line, and no end of a sentence, parts: marks and breaks are
+spaces once normalised. Such a find stands at its first line, after that line's own. ``n_sentences`` counts pieces between line ends
+and ends of sentences, wrapped or not. ORACLE_SQL looks at pieces only.
+
 Everything is local to a row: no shuffle, no join, and both tables are fixed and small. Null and empty
 texts have no sentences and no licences. Repeated rows are scanned each on their own. The added
 columns replace input columns of these names.
@@ -70,6 +75,9 @@ UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Where sentences end; \v is left to the normalisation, which reads it as a space.
 END = r"[\r\n]+|[.!?][ \t\r\n]+"
 OTHER = "[^a-z0-9]+"
+#: Where sentences end that go on over lines: also at a line with nothing but marks.
+STOP = r"[.!?][ \t\r\n]+|(?:\r\n|\n|\r(?!\n))[^a-z0-9\r\n]*[\r\n]"
+BREAK = r"[\r\n]+"
 
 
 def normalised(sentence: str) -> str:
@@ -88,19 +96,37 @@ def keys() -> dict[str, str]:
 
 
 def sentences(text: Column) -> Column:
+    """array<array<string>>: the normalised lines of each sentence; all lines in order are the pieces between ENDs."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWERED)
-    return F.filter(F.transform(F.split(low, END), lambda s: F.btrim(F.regexp_replace(s, OTHER, " "), F.lit(" "))), lambda s: s != "")
+    line = lambda s: F.btrim(F.regexp_replace(s, OTHER, " "), F.lit(" "))
+    return F.transform(F.split(low, STOP), lambda s: F.filter(F.transform(F.split(s, BREAK), line), lambda x: x != ""))
+
+
+def known_at(lines: Column, known: dict[str, str]) -> Column:
+    """Numbers (from 1) of the known sentences that a line, or several lines in a row, of a sentence make up."""
+    spots = F.array(*map(F.lit, known))
+    starts = F.array(*[F.lit(k) for k in sorted({k.split(" ")[0] for k in known})])
+    most = max(k.count(" ") + 1 for k in known)  # a line has a word at least
+
+    def over(i: Column) -> Column:
+        """From line i (from 0) on, over two lines and more."""
+        two = F.concat_ws(" ", F.get(lines, i), F.get(lines, i + 1), F.lit(""))
+        begun = F.array_contains(starts, F.substring_index(two, " ", 1)) & F.exists(spots, lambda k: F.startswith(F.concat(k, F.lit(" ")), two))
+        ends = F.sequence(F.lit(2), F.least(F.size(lines) - i, F.lit(most)))
+        return F.when((i + 1 < F.size(lines)) & begun, F.transform(ends, lambda n: F.array_position(spots, F.array_join(F.slice(lines, i + 1, n), " ")).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    found = F.flatten(F.transform(lines, lambda x, i: F.concat(F.array(F.array_position(spots, x).cast("int")), over(i))))
+    return F.filter(found, lambda k: k > 0)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus n_sentences, sentence_ids (in order) and licences (sorted, distinct)."""
     known = keys()
     names = F.array(*map(F.lit, known.values()))
-    spots = F.array(*map(F.lit, known))
     docs = docs.drop("n_sentences", "sentence_ids", "licences")
     found = docs.withColumn("sentence_ids", sentences(F.col(text)))
-    found = found.withColumn("n_sentences", F.size("sentence_ids").cast("long"))
-    at = F.filter(F.transform("sentence_ids", lambda s: F.array_position(spots, s).cast("int")), lambda k: k > 0)
+    found = found.withColumn("n_sentences", F.size(F.flatten("sentence_ids")).cast("long"))
+    at = F.flatten(F.transform("sentence_ids", lambda lines: known_at(lines, known)))
     found = found.withColumn("sentence_ids", F.transform(at, lambda k: F.element_at(names, k)))
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     hits = [F.when(line.like("%" + "%".join(f"|{i}|" for i in ids) + "%"), F.lit(name)) for name, ids in RULES]

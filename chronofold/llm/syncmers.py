@@ -1,9 +1,11 @@
 """Operator 5: document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as *units*: runs of at most ``UNIT`` characters other than white space, so a unit starts
-with its word and no text is one endless unit. Of all k-mers (k units in a row) those are kept whose
+A text is read as *units*, pieces of runs of characters other than white space. A unit ends at the run's end, or with a character of
+``CUT``; where neither follows within ``REACH`` characters, one character is a unit. So where units are cut
+depends on the ``REACH`` characters around only, wherever a run began, and no text is one endless unit. Characters of scripts
+that write no spaces are all in ``CUT``. Of all k-mers (k units in a row) those are kept whose
 smallest s-mer, by a 64-bit hash, is the first or the last one inside: a choice that depends on nothing
-outside the k-mer, so what two texts share yields the same anchors wherever it stands. A fingerprint
+outside the k-mer and those characters, so what two texts share yields the same anchors wherever it stands. A fingerprint
 is the distinct 32-bit hashes of the kept k-mers in order of first position.
 
 Short texts get finer fingerprints as well, over their UTF-8 bytes and with small k (``LEVELS``). The
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-UNIT = 5
+#: Characters that end a unit: some letters and digits, ASCII marks, and all from U+0700 on (most scripts without spaces, and all of East Asia).
+CUT, REACH = r"[ioIO37!-/:-@\[-`{-~\x{700}-\x{10FFFF}]", 16
+UNITS = rf"\S{{0,{REACH - 1}}}?{CUT}|\S{{1,{REACH}}}(?!\S)|\S"
 #: Name, k, s, and under how many bytes of text the level is used; over bytes, but the last over units.
 LEVELS = (("tiny", 3, 1, 24), ("fine", 8, 3, 512), ("coarse", 8, 2, None))
 #: Rows of a range, and ranges, aimed at; the square root of RANGES is the number of quantiles looked at in each of two steps.
@@ -66,7 +70,7 @@ def unit_syncmers(text: Column, k: int, s: int) -> Column:
         kept = _bind(hashes, lambda h: F.transform(_closed(h, k - s + 1), lambda i: F.hash(F.slice(u, i, k))))
         return F.when(size == 0, F.array().cast("array<int>")).when(size < k, F.array(F.hash(u))).otherwise(F.array_distinct(kept))
 
-    return _bind(F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0)), made)
+    return _bind(F.regexp_extract_all(text, F.lit(UNITS), F.lit(0)), made)
 
 
 def fingerprint(text: Column) -> Column:

@@ -8,8 +8,8 @@ smallest s-mer, by a 64-bit hash, is the first or the last one inside: a choice
 outside the k-mer and those characters, so what two texts share yields the same anchors wherever it stands. A fingerprint
 is the distinct 32-bit hashes of the kept k-mers in order of first position.
 
-Short texts get finer fingerprints as well, over their UTF-8 bytes and with small k (``LEVELS``). The
-finest is the one returned, and two texts are compared on the finest level that both have. Likeness
+Short texts get finer fingerprints as well, over their UTF-8 bytes and with small k (``LEVELS``). All
+levels of a text are returned together, the coarse one first, so texts on two sides of a bound share hashes; and two texts are compared on the finest level that both have. Likeness
 is twice the number of common hashes over the sum of both numbers; two empty fingerprints are alike
 in full. A text under k units has one hash of all its units for a k-mer.
 
@@ -84,7 +84,9 @@ def fingerprint(text: Column) -> Column:
 
 
 def shown(mark: Column) -> Column:
-    return F.coalesce(*[mark[name] for name, *_ in LEVELS])
+    """All levels that a text has, the coarse one first: any two texts have hashes of a kind in common."""
+    none = F.array().cast("array<int>")
+    return F.array_distinct(F.concat(*[F.coalesce(mark[name], none) for name, *_ in reversed(LEVELS)]))
 
 
 def likeness(a: Column, b: Column) -> Column:

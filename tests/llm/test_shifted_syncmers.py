@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.llm.syncmers import fingerprint, likeness
+from chronofold.llm.syncmers import fingerprint, likeness, shown
 
 KINDS = {
     "chinese": [chr(c) for c in range(0x4E00, 0x4E00 + 800)],
@@ -25,3 +25,12 @@ def test_shifted_copies_are_alike(spark, kind):
     df = spark.createDataFrame([(text, c) for c in [*copies, other]], "a string, b string")
     got = [r[0] for r in df.select(likeness(fingerprint(F.col("a")), fingerprint(F.col("b")))).collect()]
     assert min(got[:-1]) > 0.9 and got[-1] < 0.3
+
+
+@pytest.mark.parametrize("size", [24, 512])
+def test_fingerprints_on_two_sides_of_a_bound_share_hashes(spark, size):
+    rng = random.Random(4)
+    words = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(2)) for _ in range(size))
+    df = spark.createDataFrame([(words[: size - 1], words[: size + 1])], "a string, b string")
+    a, b = df.select(*[shown(fingerprint(F.col(c))) for c in "ab"]).first()
+    assert len(set(a) & set(b)) >= 0.5 * len(set(b)) and len(a) == len(set(a))

@@ -24,3 +24,18 @@ def test_probabilities_sum_to_one():
     for code in (0, 5 * model.slots + 9, model.end * model.slots + model.end):
         p = 10 ** model.log10(np.full(model.slots, code), np.arange(model.slots))
         assert abs(p.sum() - 1) < 1e-5
+
+
+def test_training_meets_every_trigram(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "STEPS", 1)
+    rows = [(" ".join(f"w{i}" for i in range(k, k + 10)),) for k in range(0, 20_000, 10)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    words = np.array([r["word"] for r in lmscore.word_counts(df).collect()], np.int64)
+    assert len(words) == 20_000
+    model = lmscore.Model(words, 1)
+    model.weigh(np.ones(model.slots), np.ones(model.slots))
+    before = model.params.copy()
+    lmscore.train(df, model, 22_000, 200_000)
+    # every word is a target once, so its row moves
+    start = before[model.slots : 2 * model.slots, : lmscore.WIDTH]
+    assert np.all(np.any(model.q[: model.own, : lmscore.WIDTH] != start[: model.own], axis=1))

@@ -7,7 +7,8 @@ carriage return), then one end for each text.
 aggregates of that table; nothing of it is sampled and only its ``OWN_SLOTS`` most frequent rows
 reach the driver. Documents are dealt into blocks of about ``BLOCK_CHARS`` characters; a block asks
 for its distinct words, the answers are joined by word and meet the block's texts again, so a very
-frequent word costs one row for each block and no task holds the whole vocabulary.
+frequent word costs one row for each block and no task holds the whole vocabulary. Words with slots of their own are
+not asked for: their counts come with the model.
 
 *Model.* Every word has a slot: each of the ``OWN_SLOTS`` most frequent words one of its own, all others
 one of at most ``SHARED_SLOTS`` shared ones by hash, and the end one; their number grows with the distinct words up
@@ -29,6 +30,8 @@ all counts are 0 and the base score is 0. Repeated rows are scored and counted e
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,17 +39,21 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, hash_words, hold_out, map_arrow, table, text_bytes
 
-OWN_SLOTS, SHARED_SLOTS = 32_768, 32_768
-BLOCK_CHARS = 32_000_000
-WIDTH = 24
-CLASS_NOISE, NOISE = 64, 2
-STEPS, BATCH = 400, 8192
-RATE = 0.1
+OWN_SLOTS, SHARED_SLOTS = 32_768, 4_096
+BLOCK_CHARS = 20_000_000
+WIDTH = 15
+CLASS_NOISE, NOISE = 32, 2
+STEPS, BATCH, RUN = 800, 4096, 8
+RATE = 0.07
 #: Characters that a task of the training goes through.
-TASK_CHARS = 48_000_000
+TASK_CHARS = 64_000_000
 PIECE = 8 << 20
+#: First bits of a word's hash by which its slot is looked up.
+INDEX_BITS = 17
+#: Rows of words that a task hands over at a time.
+WORD_ROWS = 1 << 18
 #: Contexts whose softmax is made at a time, and parameter rows that are averaged at a time.
-CONTEXTS, ROWS = 16_384, 1024
+CONTEXTS, ROWS = 2_048, 1024
 
 
 def token_pieces(column: pa.Array):
@@ -81,22 +88,27 @@ def _sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Slots: 0 .. own-1 the frequent words, then the shared ones, then the end; as context the end is the begin.
 
-    ``params`` has a row of WIDTH weights and a bias for each slot as context, slot and class as targets, then C2 and C1.
+    ``params`` has a row of WIDTH weights and a bias for each slot as context, slot and class as targets, then C2 and C1
+    with a row and a column of zeros, so that all products run over whole rows.
     """
 
-    def __init__(self, words: np.ndarray, shared: int):
-        self.order = np.argsort(words)
-        self.words = words[self.order]
+    def __init__(self, words: np.ndarray, shared: int, n: np.ndarray | None = None):
+        """``n``: training tokens of each of ``words``."""
+        self.n = np.zeros(len(words), np.int64) if n is None else n
+        self.order = np.argsort(words.view(np.uint64))
+        self.words = words.view(np.uint64)[self.order]
         self.own, self.shared = len(words), shared
+        self.begins = np.searchsorted(self.words >> np.uint64(64 - INDEX_BITS), np.arange((1 << INDEX_BITS) + 1, dtype=np.uint64)).astype(np.int32)
         self.end = self.own + shared
         self.slots = self.end + 1
         self.size = max(1, int(np.ceil(np.sqrt(self.slots))))
         self.classes = -(-self.slots // self.size)
         rng = np.random.default_rng(5)
-        self.starts = np.cumsum([0, self.slots, self.slots, self.classes, WIDTH, WIDTH])
+        self.starts = np.cumsum([0, self.slots, self.slots, self.classes, WIDTH + 1, WIDTH + 1])
         self.params = (0.1 * rng.standard_normal((self.starts[-1], WIDTH + 1))).astype(np.float32)
-        _, _, _, c2, c1 = self.parts(self.params)
-        c2[:, :WIDTH], c1[:, :WIDTH] = np.eye(WIDTH) * 0.5, np.eye(WIDTH)
+        r, _, _, c2, c1 = self.parts(self.params)
+        r[:, WIDTH], c2[:], c1[:] = 0, 0, 0
+        c2[:WIDTH, :WIDTH], c1[:WIDTH, :WIDTH] = np.eye(WIDTH) * 0.5, np.eye(WIDTH)
 
     def parts(self, params: np.ndarray) -> list[np.ndarray]:
         return [params[a:b] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
@@ -118,11 +130,21 @@ class Model:
         q[:, WIDTH], c[:, WIDTH] = self.log_within, self.log_class
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
-        other = self.own + (hashes.view(np.uint64) % np.uint64(self.shared)).astype(np.int64)
-        if not len(self.words):
-            return other
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.order[at], other)
+        """Slots of words: found among the words with the same first bits, else by hash one of the shared."""
+        h = hashes.view(np.uint64)
+        out = (((h & np.uint64(0xFFFFFFFF)) * np.uint64(self.shared)) >> np.uint64(32)).astype(np.int64)
+        out += self.own
+        bucket = (h >> np.uint64(64 - INDEX_BITS)).astype(np.int32)
+        at, end = self.begins[bucket], self.begins[bucket + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end, h = at[open_], end[open_], h[open_]
+        while len(open_):
+            hit = self.words[at] == h
+            out[open_[hit]] = self.order[at[hit]]
+            at = at + 1
+            more = ~hit & (at < end)
+            open_, at, end, h = open_[more], at[more], end[more], h[more]
+        return out
 
     def sequence(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes of each token's context, slots of the tokens, offsets), an end after each text."""
@@ -136,64 +158,83 @@ class Model:
         return two * self.slots + one, slot, offsets
 
     def step(self, params: np.ndarray, seen: np.ndarray, rng, a: np.ndarray, b: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
-        """One mini-batch by Adagrad, in place; ``seen`` holds the sums of squared gradients."""
+        """One mini-batch by Adagrad, in place; ``seen`` holds each row's sum of mean squared gradients."""
         r, q, c, c2, c1 = self.parts(params)
-        c2, c1 = c2[:, :WIDTH], c1[:, :WIDTH]
-        x, y, weight = r[a, :WIDTH], r[b, :WIDTH], (n / n.sum()).astype(np.float32)[:, None]
-        hidden = x @ c2 + y @ c1
-        full = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], 1)
+        x, y, weight = r[a], r[b], (n / n.sum()).astype(np.float32)[:, None]
+        full = x @ c2 + y @ c1
+        full[:, WIDTH] = 1  # meets the bias
         cls = w // self.size
         # classes: one set of noise for the mini-batch
         noise = np.minimum(np.searchsorted(self.class_cum, rng.random(CLASS_NOISE)), self.classes - 1)
-        bias = self.log_class + np.float32(np.log(CLASS_NOISE))
-        hit = weight[:, 0] * (1 / (1 + np.exp(-np.clip((full * c[cls]).sum(1) - bias[cls], -30, 30))) - 1)
-        miss = weight / (1 + np.exp(-np.clip(full @ c[noise].T - bias[noise], -30, 30)))
-        back = hit[:, None] * c[cls] + miss @ c[noise]
-        gc = _sums(np.concatenate([cls, noise]), np.concatenate([hit[:, None] * full, miss.T @ full]))
+        bias, own = self.log_class + np.float32(np.log(CLASS_NOISE)), c[cls]
+        hit = weight[:, 0] * (1 / (1 + np.exp(bias[cls] - np.einsum("bd,bd->b", full, own))) - 1)
+        miss = bias[noise] - full @ c[noise].T
+        np.exp(miss, out=miss)
+        miss += 1
+        miss = weight / miss
+        back = hit[:, None] * own + miss @ c[noise]
+        gc = np.zeros_like(c)
+        at, sums = _sums(cls, hit[:, None] * full)
+        gc[at] += sums
+        np.add.at(gc, noise, miss.T @ full)
         # within the class: noise of its own for each row
         low, high = self.low[cls][:, None], self.high[cls][:, None]
         other = np.searchsorted(self.cum, low + rng.random((len(w), NOISE)) * (high - low), "right")
         other = np.clip(other, (cls * self.size)[:, None], np.minimum((cls + 1) * self.size, self.slots)[:, None] - 1)
         at = np.concatenate([w[:, None], other], 1)
         rows = q[at]
-        d = 1 / (1 + np.exp(-np.clip(np.einsum("bnd,bd->bn", rows, full) - self.log_within[at] - np.float32(np.log(NOISE)), -30, 30)))
+        d = 1 / (1 + np.exp(self.log_within[at] + np.float32(np.log(NOISE)) - np.einsum("bnd,bd->bn", rows, full)))
         d[:, 0] -= 1
         d *= weight
         back += np.einsum("bn,bnd->bd", d, rows)
-        back = back[:, :WIDTH]
+        back[:, WIDTH] = 0
         gq = _sums(at.ravel(), (d[:, :, None] * full[:, None, :]).reshape(-1, WIDTH + 1))
         gr = _sums(np.concatenate([a, b]), np.concatenate([back @ c2.T, back @ c1.T]))
-        updates = [(gr[0], np.pad(gr[1], ((0, 0), (0, 1)))), (gq[0] + self.starts[1], gq[1]), (gc[0] + self.starts[2], gc[1])]
-        updates += [(np.arange(self.starts[k], self.starts[k + 1]), np.pad(g, ((0, 0), (0, 1)))) for k, g in ((3, x.T @ back), (4, y.T @ back))]
-        for i, g in updates:
-            seen[i] += g * g
-            params[i] -= np.float32(RATE) * g / (np.sqrt(seen[i]) + np.float32(1e-8))
+        _, _, of_class, of_two, of_one = (slice(i, j) for i, j in zip(self.starts[:-1], self.starts[1:], strict=True))
+        for i, g in (gr, (gq[0] + self.starts[1], gq[1]), (of_class, gc), (of_two, x.T @ back), (of_one, y.T @ back)):
+            total = seen[i] + np.einsum("nd,nd->n", g, g) / (WIDTH + 1)
+            seen[i] = total
+            params[i] -= g * (np.float32(RATE) / (np.sqrt(total) + np.float32(1e-8)))[:, None]
 
     def finish(self, params: np.ndarray) -> None:
         r, q, c, c2, c1 = self.parts(params)
-        self.two, self.one = r[:, :WIDTH] @ c2[:, :WIDTH], r[:, :WIDTH] @ c1[:, :WIDTH]
+        self.two, self.one = r @ c2, r @ c1
+        self.two[:, WIDTH] = 1
         self.q, self.c = q, c
         del self.params
 
-    def log10(self, codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """log10 P(slot | context) of each pair."""
+    @cached_property
+    def class_tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For a slot two and one back: exp of its share of each class's logit, and the largest such share, taken off."""
+        made = []
+        for context in (self.two, self.one):
+            z = context @ self.c.T
+            most = z.max(1)
+            z -= most[:, None]
+            made.append((np.exp(z, out=z), most))
+        return made
 
-        def log_softmax(h: np.ndarray, rows: np.ndarray, at) -> np.ndarray:
-            s = h @ rows[:, :WIDTH].T
-            s += rows[:, WIDTH]
-            s -= s.max(1, keepdims=True)
-            hit = s[np.arange(len(s)), at].astype(np.float64)
-            return hit - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+    def log10(self, codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """log10 P(slot | context) of each pair.
 
+        A class's unnormalised probability is a product of a part for either context slot, so the sum
+        over classes is the product of two rows of a table; within the class a matrix product gives all logits.
+        """
         out, cls = np.zeros(len(slots)), slots // self.size
-        order = np.argsort(cls, kind="stable")
+        (two, most_two), (one, most_one) = self.class_tables
+        order = np.argsort(cls.astype(np.int16) if self.classes < 1 << 15 else cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             rows = self.q[k * self.size : (k + 1) * self.size]
             for low in range(bounds[k], bounds[k + 1], CONTEXTS):
                 i = order[low : min(low + CONTEXTS, bounds[k + 1])]
-                h = self.two[codes[i] // self.slots] + self.one[codes[i] % self.slots]
-                out[i] = log_softmax(h, self.c, k) + log_softmax(h, rows, slots[i] - k * self.size)
+                a, b = np.divmod(codes[i], self.slots)
+                h = self.two[a] + self.one[b]
+                whole = np.log(np.einsum("nk,nk->n", two[a], one[b])) + most_two[a] + most_one[b]
+                z = h @ rows.T
+                hit = z[np.arange(len(z)), slots[i] - k * self.size] + h @ self.c[k] - whole
+                z -= (most := z.max(1, keepdims=True))
+                out[i] = hit - most[:, 0] - np.log(np.exp(z, out=z).sum(1))
         return out / np.log(10)
 
 
@@ -214,14 +255,17 @@ def train(docs: DataFrame, model: Model, tokens: int, chars: int, text: str = "t
 
     def run(batches):
         rng, params, kept = np.random.default_rng(7), model.params.copy(), []
-        seen, met = np.zeros_like(params), np.zeros(len(params))
+        seen, met = np.zeros(len(params), np.float32), np.zeros(len(params))
 
         def learn(code: np.ndarray, slot: np.ndarray, n: np.ndarray) -> None:
-            order = rng.permutation(len(code))
+            # neighbours share a context, so short runs of them are cheap to take together
+            order = (rng.permutation(-(-len(code) // RUN))[:, None] * RUN + np.arange(RUN)).ravel()
+            order = order[order < len(code)]
             for low in range(0, len(order), BATCH):
                 i = order[low : low + BATCH]
                 a, b, w = code[i] // model.slots, code[i] % model.slots, slot[i]
-                model.step(params, seen, rng, a, b, w, n[i])
+                with np.errstate(over="ignore"):  # an infinite exponential is a probability of 0
+                    model.step(params, seen, rng, a, b, w, n[i])
             for at in (code // model.slots, code % model.slots, slot + model.starts[1], slot // model.size + model.starts[2]):
                 met[:] += np.bincount(at, n, len(met))
             met[model.starts[3] :] += n.sum()
@@ -275,7 +319,7 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
     size = docs.agg(F.coalesce(F.sum(F.col("usable").cast("long")), F.lit(0)).alias("ends"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     tokens, distinct = whole["n"] + size["ends"], whole["v"] + (size["ends"] > 0)
     top = counts.orderBy(F.desc("n"), "word").limit(OWN_SLOTS).toPandas()
-    model = Model(top["word"].to_numpy(np.int64), max(1, min(SHARED_SLOTS, whole["v"] - len(top))))
+    model = Model(top["word"].to_numpy(np.int64), max(1, min(SHARED_SLOTS, whole["v"] - len(top))), top["n"].to_numpy(np.int64))
     got = slot_counts(counts, model).toPandas()  # at most OWN_SLOTS + SHARED_SLOTS rows
     of_slot = np.zeros((2, model.slots))
     of_slot[:, got["slot"].to_numpy(np.int64)] = got[["n", "v"]].to_numpy(np.float64).T
@@ -283,20 +327,25 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
     model.weigh(*of_slot)
     train(usable_docs, model, int(tokens), int(size["chars"]))
     blocks = max(1, -(-int(size["chars"]) // block_chars))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        block = batch.column("block").to_numpy()
-        parts, words = [], []
-        for low, h, f in token_pieces(batch.column("text")):
-            parts.append(np.repeat(block[low : low + len(f) - 1], np.diff(f)))
-            words.append(h)
-        part, word = np.concatenate(parts), np.concatenate(words)
-        out = [(b, np.unique(word[part == b])) for b in np.unique(part)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(w), b, np.int32) for b, w in out] or [part])), pa.array(np.concatenate([w for _, w in out] or [word]))], names=["block", "word"])
-
-    asked = map_arrow(dealt.select("block", "text"), ask, "block int, word long")
-    answers = asked.join(counts, "word").select("block", "word", "n").distinct()
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+
+    def ask(batches):
+        """The distinct words of each block that have no slot of their own; a task holds those of its blocks."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            for low, h, f in token_pieces(batch.column("text")):
+                owner, other = np.repeat(block[low : low + len(f) - 1], np.diff(f)), model.index(h) >= model.own
+                owner, h = owner[other], h[other]
+                for k in np.unique(owner).tolist():
+                    held[k] = np.union1d(held.get(k, h[:0]), h[owner == k])
+        for k, words in held.items():
+            for low in range(0, len(words), WORD_ROWS):
+                part = words[low : low + WORD_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part)], names=["block", "word"])
+
+    asked = dealt.mapInArrow(ask, "block int, word long")  # with all columns, so that texts are dealt once for both readers
+    answers = asked.join(counts, "word").select("block", "word", "n")
     base_of = np.log10(tokens + distinct + 1)
     kept = [f for f in docs.select(*keep).schema.fields]
     names = [f.name for f in kept]
@@ -307,19 +356,19 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
     def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
         word, n = (answered.column(k).to_numpy() for k in ("word", "n"))
         order = np.argsort(word)
-        word, n = word[order], n[order]
+        word, n, known = word[order], n[order], np.append(model.n, 0)
         out = []
         for low, h, f in token_pieces(texts.column("text").combine_chunks() if texts.num_rows else pa.array([], pa.string())):
-            count = np.zeros(len(h), np.int64)
-            if len(word):
-                at = np.minimum(np.searchsorted(word, h), len(word) - 1)
-                count = np.where(word[at] == h, n[at], 0)
             ctx, slot, offsets = model.sequence(h, f)
-            c = np.full(len(slot), ends, np.int64)
-            is_word = np.ones(len(slot), bool)
-            is_word[offsets[1:] - 1] = False
-            c[is_word] = count
             shared = (slot >= model.own) & (slot < model.end)
+            c = known[np.minimum(slot, model.own)]
+            c[offsets[1:] - 1] = ends
+            if len(word):
+                is_word = np.ones(len(slot), bool)
+                is_word[offsets[1:] - 1] = False
+                other = h[shared[is_word]]
+                at = np.minimum(np.searchsorted(word, other), len(word) - 1)
+                c[shared] = np.where(word[at] == other, n[at], 0)
             log = model.log10(ctx, slot) + np.where(shared, np.log10(c + 1.0) - model.rest[slot], 0)
             sums = [np.add.reduceat(x, offsets[:-1]) for x in (np.log10(c + 1.0) - base_of, log, (c > 0).astype(np.int64))]
             out.append((np.diff(offsets), sums[2], sums[0], sums[1]))
@@ -327,7 +376,7 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
         made = [columns[0].astype(np.int64), columns[1].astype(np.int64), np.full(len(columns[0]), total, np.int64), columns[2].astype(np.float64), columns[3].astype(np.float64)]
         return pa.table([texts.column(k) for k in ("doc_id", *names)] + [pa.array(m) for m in made], names=["doc_id", *names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return dealt.select("block", "doc_id", "text", *names).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,7 +188,11 @@ class Model:
         d *= weight
         back += np.einsum("bn,bnd->bd", d, rows)
         back[:, WIDTH] = 0
-        gq = _sums(at.ravel(), (d[:, :, None] * full[:, None, :]).reshape(-1, WIDTH + 1))
+        at, d = at.ravel(), d.ravel()
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        gq = at[first], np.add.reduceat(d[order, None] * full[order // (NOISE + 1)], first, axis=0)
         gr = _sums(np.concatenate([a, b]), np.concatenate([back @ c2.T, back @ c1.T]))
         _, _, of_class, of_two, of_one = (slice(i, j) for i, j in zip(self.starts[:-1], self.starts[1:], strict=True))
         for i, g in (gr, (gq[0] + self.starts[1], gq[1]), (of_class, gc), (of_two, x.T @ back), (of_one, y.T @ back)):
@@ -331,15 +335,16 @@ def score(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", b
 
     def ask(batches):
         """The distinct words of each block that have no slot of their own; a task holds those of its blocks."""
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             block = batch.column("block").to_numpy()
             for low, h, f in token_pieces(batch.column("text")):
                 owner, other = np.repeat(block[low : low + len(f) - 1], np.diff(f)), model.index(h) >= model.own
                 owner, h = owner[other], h[other]
                 for k in np.unique(owner).tolist():
-                    held[k] = np.union1d(held.get(k, h[:0]), h[owner == k])
-        for k, words in held.items():
+                    held.setdefault(k, []).append(np.unique(h[owner == k]))
+        for k, found in held.items():
+            words = np.unique(np.concatenate(found))
             for low in range(0, len(words), WORD_ROWS):
                 part = words[low : low + WORD_ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part)], names=["block", "word"])

@@ -1,24 +1,26 @@
 """Operator 5: document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as *units*, pieces of runs of characters other than white space. A unit ends at the run's end, or with a character of
-``CUT``; where neither follows within ``REACH`` characters, one character is a unit. So where units are cut
+A text of any length is read as *units*, pieces of runs of characters other than white space. A unit ends at the run's end, or with a
+character of ``CUT``; where neither follows within ``REACH`` characters, one character is a unit. So where units are cut
 depends on the ``REACH`` characters around only, wherever a run began, and no text is one endless unit. Characters of scripts
-that write no spaces are all in ``CUT``. Of all k-mers (k units in a row) those are kept whose
-smallest s-mer, by a 64-bit hash, is the first or the last one inside: a choice that depends on nothing
-outside the k-mer and those characters, so what two texts share yields the same anchors wherever it stands. A fingerprint
-is the distinct 32-bit hashes of the kept k-mers in order of first position.
-
-Short texts get finer fingerprints as well, over their UTF-8 bytes and with small k (``LEVELS``). All
-levels of a text are returned together, the coarse one first, so texts on two sides of a bound share hashes; and two texts are compared on the finest level that both have. Likeness
-is twice the number of common hashes over the sum of both numbers; two empty fingerprints are alike
-in full. A text under k units has one hash of all its units for a k-mer.
-
-The next document in ascending order of (doc_id, hash of text) comes from a window over ranges of
-ids: quantiles cut the ids into at most ``RANGES`` ranges, and the first row of each range is also
-sent to the end of the range before it (of the first one to the last). No task sees more than a
-range, texts and fingerprints are shuffled once, and fingerprints are made before that.
-
-Null texts are empty. Null ids come first. Rows that share id and text follow each other; the
+that write no spaces are all in ``CUT``. ``K - 1`` empty units stand before the first unit and after the last one.
+Of all k-mers (K units in a row) those are kept whose smallest s-mer, by a 64-bit hash, is the first or the last one
+inside: a choice that depends on nothing outside the k-mer and those characters, so what two texts share
+yields the same anchors wherever it stands. Of any ``K - S`` neighbouring k-mers one at least is kept, so every
+text with a unit has an anchor, and texts that begin alike share anchors however short they are.
+
+A fingerprint is the 32-bit hashes of all kept k-mers in order, beside their positions: the number of the
+k-mer's first unit, negative where it begins with empty ones. Likeness matches anchors by order: the distinct anchors that two
+texts share stand in a row in either text; ``linked`` counts those that follow the same one in both rows, and the
+first; likeness is twice that number over the sum of both numbers of distinct anchors. Two empty fingerprints are alike in full.
+
+The next document in ascending order of (doc_id, hash of text) comes from a window over ranges:
+quantiles cut the ids into ranges of about ``RANGE_ROWS`` rows, an id that fills several ranges (and the null id) is cut further by the
+hash, and beyond ``RANGES`` ranges each is cut again by quantiles of its own, so a task's share does not grow with the table. The first row of each
+range is also sent to the end of the range before it (of the first one to the last). Texts are shuffled once, and
+fingerprints are made behind that shuffle.
+
+Null texts are empty. Null ids come first. Rows that share id and text follow each other (all in one range); the
 only row of a table is its own next. Empty tables give no rows.
 """
 
@@ -32,10 +34,12 @@ from .common import table
 #: Characters that end a unit: some letters and digits, ASCII marks, and all from U+0700 on (most scripts without spaces, and all of East Asia).
 CUT, REACH = r"[ioIO37!-/:-@\[-`{-~\x{700}-\x{10FFFF}]", 16
 UNITS = rf"\S{{0,{REACH - 1}}}?{CUT}|\S{{1,{REACH}}}(?!\S)|\S"
-#: Name, k, s, and under how many bytes of text the level is used; over bytes, but the last over units.
-LEVELS = (("tiny", 3, 1, 24), ("fine", 8, 3, 512), ("coarse", 8, 2, None))
-#: Rows of a range, and ranges, aimed at; the square root of RANGES is the number of quantiles looked at in each of two steps.
-RANGE_ROWS, RANGES = 2500, 4096
+#: Units of a k-mer and of an s-mer.
+K, S = 5, 2
+#: Rows of a range aimed at; ranges of the first cut, and of each of them in the second.
+RANGE_ROWS, RANGES, FINER = 2500, 4096, 1024
+#: Ranges whose first rows are broadcast; of more they are joined by a shuffle.
+BROADCAST_RANGES = 100_000
 
 
 def _bind(value: Column, fn) -> Column:
@@ -43,96 +47,86 @@ def _bind(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def _closed(hashes: Column, inner: int) -> Column:
-    """Positions (from 1) of the k-mers with ``inner`` s-mers whose smallest is at an edge."""
-    starts = F.sequence(F.lit(1), F.size(hashes) - inner + 1)
-    return F.filter(starts, lambda i: F.least(F.get(hashes, i - 1), F.get(hashes, i + (inner - 2))) == F.array_min(F.slice(hashes, i, inner)))
-
-
-def byte_syncmers(data: Column, k: int, s: int) -> Column:
-    """array<int>: distinct hashes of the closed syncmers of a binary column, in order of position."""
-
-    def made(b: Column) -> Column:
-        size = F.octet_length(b)
-        hashes = F.transform(F.sequence(F.lit(1), size - (s - 1)), lambda i: F.xxhash64(F.substring(b, i, F.lit(s))))
-        kept = _bind(hashes, lambda h: F.transform(_closed(h, k - s + 1), lambda i: F.hash(F.substring(b, i, F.lit(k)))))
-        return F.when(size == 0, F.array().cast("array<int>")).when(size < k, F.array(F.hash(b))).otherwise(F.array_distinct(kept))
-
-    return _bind(data, made)
-
-
-def unit_syncmers(text: Column, k: int, s: int) -> Column:
-    """The same over the units of a text."""
-
-    def made(u: Column) -> Column:
-        size = F.size(u)
-        hashes = F.transform(F.sequence(F.lit(0), size - s), lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(s)]))
-        kept = _bind(hashes, lambda h: F.transform(_closed(h, k - s + 1), lambda i: F.hash(F.slice(u, i, k))))
-        return F.when(size == 0, F.array().cast("array<int>")).when(size < k, F.array(F.hash(u))).otherwise(F.array_distinct(kept))
-
-    return _bind(F.regexp_extract_all(text, F.lit(UNITS), F.lit(0)), made)
-
-
 def fingerprint(text: Column) -> Column:
-    """struct with an array<int> for each level, null where the text is too long for it."""
-
-    def all_levels(t: Column) -> Column:
-        made = [(unit_syncmers(t, k, s) if most is None else F.when(F.octet_length(t) < most, byte_syncmers(t.cast("binary"), k, s))).alias(name) for name, k, s, most in LEVELS]
-        return F.struct(*made)
-
-    return _bind(text, all_levels)
+    """struct(hash array<int>, pos array<int>): the closed syncmers of a text, in order."""
+    inner, pad = K - S + 1, F.array_repeat(F.lit(""), K - 1)
 
+    def made(u: Column) -> Column:
+        smers = F.transform(F.sequence(F.lit(0), F.size(u) - S), lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(S)]))
+        starts = F.sequence(F.lit(0), F.size(u) - K)
+        kept = _bind(smers, lambda h: F.filter(starts, lambda i: F.least(F.get(h, i), F.get(h, i + (inner - 1))) == F.array_min(F.slice(h, i + 1, inner))))
+        return _bind(kept, lambda at: F.struct(F.transform(at, lambda i: F.hash(F.slice(u, i + 1, K))).alias("hash"), F.transform(at, lambda i: i - (K - 1)).alias("pos")))
 
-def shown(mark: Column) -> Column:
-    """All levels that a text has, the coarse one first: any two texts have hashes of a kind in common."""
     none = F.array().cast("array<int>")
-    return F.array_distinct(F.concat(*[F.coalesce(mark[name], none) for name, *_ in reversed(LEVELS)]))
+    units = F.regexp_extract_all(text, F.lit(UNITS), F.lit(0))
+    return _bind(units, lambda u: F.when(F.size(u) > 0, _bind(F.concat(pad, u, pad), made)).otherwise(F.struct(none.alias("hash"), none.alias("pos"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    def dice(x: Column, y: Column) -> Column:
-        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
-
-    out = None
-    for name, *_, most in reversed(LEVELS):
-        here = dice(a[name], b[name])
-        out = here if most is None else F.when(a[name].isNotNull() & b[name].isNotNull(), here).otherwise(out)
-    return out
-
-
-def ranges(docs: DataFrame, doc_id: str) -> Column:
-    """The number of a row's range of ids; ranges follow the order of ids, nulls are in the first."""
-    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(doc_id, [i / RANGES for i in range(1, RANGES)], RANGES * 10).alias("q")).first()
-    wanted = min(RANGES, -(-seen["n"] // RANGE_ROWS))
-    cuts = sorted(set(seen["q"] or ()))
-    cuts = sorted({cuts[i * len(cuts) // wanted] for i in range(1, wanted)}) if cuts and wanted > 1 else []
+    """Of two arrays of hashes in order: the share of distinct anchors that follow the same one in both."""
+
+    def pairs(x: Column) -> Column:
+        n = F.greatest(F.size(x) - 1, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(2), n), lambda p, q: F.xxhash64(p, q))
+
+    def share(x: Column, y: Column) -> Column:
+        linked = _bind(F.array_intersect(x, y), lambda c: F.when(F.size(c) == 0, 0).otherwise(1 + F.size(F.array_intersect(pairs(c), pairs(F.array_intersect(y, x))))))
+        whole = F.size(x) + F.size(y)
+        return F.when(whole == 0, 1.0).otherwise(2 * linked / whole)
+
+    return _bind(F.array_distinct(a), lambda x: _bind(F.array_distinct(b), lambda y: share(x, y)))
+
+
+def ranged(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(``rows`` (doc_id, h, ...) plus ``range``, the number of ranges); ranges follow the order of (doc_id, h), nulls first."""
+    fractions = [i / RANGES for i in range(1, RANGES)]
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.percentile_approx("doc_id", fractions, RANGES * 10).alias("q")).first()
+    wanted = -(-seen["n"] // RANGE_ROWS)
+    first = min(wanted, RANGES)
+    picked = [seen["q"][i * RANGES // first - 1] for i in range(1, first)] if seen["q"] else []
+    cuts = sorted(set(picked))
+    times = [1, *(picked.count(c) for c in cuts)]  # an id that is several cuts fills as many ranges
+    nulls = -(-(seen["n"] - seen["ids"]) // RANGE_ROWS)
+    begins = [nulls + sum(times[:i]) for i in range(len(times))]
+    share = (F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))).cast("double")  # of the hash in its range, 0 to 1, in an order that ``h`` follows below
+    of = lambda n: F.least(F.floor(share * n), n - 1).cast("long")
     if not cuts:
-        return F.lit(0)
-    step = max(1, round(len(cuts) ** 0.5))
-    rows = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    below = lambda values, x: F.size(F.filter(values, lambda c: c <= x))
-    fine = F.array(*[F.array(*map(F.lit, r)) for r in rows])
-    coarse = F.array(*[F.lit(r[0]) for r in rows])
-
-    def place(x: Column) -> Column:
-        return _bind(below(coarse, x), lambda r: F.when(r == 0, 0).otherwise((r - 1) * step + below(F.get(fine, r - 1), x)))
-
-    return F.coalesce(_bind(F.col(doc_id), place), F.lit(0)).cast("int")
+        place = F.lit(begins[0]).cast("long")
+    else:
+        step = max(1, round(len(cuts) ** 0.5))
+        rows_of = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+        below = lambda values, x: F.size(F.filter(values, lambda c: c <= x))
+        fine, coarse = F.array(*[F.array(*map(F.lit, r)) for r in rows_of]), F.array(*[F.lit(r[0]) for r in rows_of])
+        index = _bind(below(coarse, F.col("doc_id")), lambda r: F.when(r == 0, 0).otherwise((r - 1) * step + below(F.get(fine, r - 1), F.col("doc_id"))))
+        several = {c: n for c, n in zip(cuts, times[1:], strict=True) if n > 1}
+        hot = F.lit(0).cast("long")
+        for c, n in several.items():  # at most half of RANGES
+            hot = F.when(F.col("doc_id") == c, of(F.lit(n))).when(F.col("doc_id") > c, F.lit(n - 1)).otherwise(F.lit(0)) + hot
+        place = index.cast("long") + nulls + hot
+    out = rows.withColumn("range", F.when(F.col("doc_id").isNull(), of(F.lit(max(nulls, 1)))).otherwise(place))
+    if wanted <= RANGES:
+        return out, nulls + sum(times)
+    per = min(FINER, -(-wanted // RANGES))
+    again = out.groupBy("range").agg(F.percentile_approx("doc_id", [i / per for i in range(1, per)], per * 10).alias("cuts"))  # at most 2 RANGES rows of FINER ids
+    out = out.join(F.broadcast(again), "range").withColumn("range", F.col("range") * per + F.coalesce(F.size(F.filter(F.array_distinct("cuts"), lambda c: c <= F.col("doc_id"))), F.lit(0)))
+    return out.drop("cuts"), (nulls + sum(times)) * per
 
 
 def with_next(docs: DataFrame, made: dict[str, Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, ``made``, next_text, next_...) of every row and the one after it; the last is followed by the first."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("range", ranges(docs, doc_id))
-    firsts = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("first"))
-    order = Window.orderBy("range")  # at most RANGES rows
-    everything = Window.partitionBy()
-    firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.max("range").over(everything)))
-    firsts = firsts.select(F.col("first.doc_id").alias("fid"), F.col("first.h").alias("fh"), F.col("before"))
-    marked = rows.join(F.broadcast(firsts), rows["doc_id"].eqNullSafe(F.col("fid")) & (rows["h"] == F.col("fh")), "left")
+    rows, n = ranged(rows.withColumn("h", F.xxhash64("text")))
+    key = F.shiftrightunsigned("h", 1)  # the order by which ids are cut further
+    firsts = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", key.alias("key"), "h")).alias("first"))
+    order = Window.orderBy("range")  # a row for each range
+    firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())))
+    firsts = firsts.select(F.col("range").alias("frange"), F.col("first.doc_id").alias("fid"), F.col("first.h").alias("fh"), F.col("before"))
+    if n <= BROADCAST_RANGES:
+        firsts = F.broadcast(firsts)  # a row of five numbers for each range
+    marked = rows.join(firsts, (F.col("range") == F.col("frange")) & F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")), "left")
     spots = F.array_compact(F.array(F.struct("range", F.lit(0).alias("end")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(1).alias("end")))))
-    sent = marked.select("doc_id", "text", "h", F.inline(spots)).withColumns(made)
-    window = Window.partitionBy("range").orderBy("end", F.asc_nulls_first("doc_id"), "h")
+    sent = marked.select("doc_id", "text", "h", F.inline(spots)).repartition(n, "range").withColumns(made)
+    window = Window.partitionBy("range").orderBy("end", F.asc_nulls_first("doc_id"), F.shiftrightunsigned("h", 1), "h")
     after = {f"next_{c}": F.lead(c).over(window) for c in ("text", *made)}
     return sent.withColumns(after).where("end = 0").drop("h", "range", "end")
 
@@ -147,8 +141,10 @@ def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("mark")).alias("fingerprint"),
-        shown(F.col("edited_mark")).alias("edited_fingerprint"),
-        likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
-        likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
+        F.col("mark.hash").alias("fingerprint"),
+        F.col("edited_mark.hash").alias("edited_fingerprint"),
+        likeness(F.col("mark.hash"), F.col("edited_mark.hash")).alias("near_edited"),
+        likeness(F.col("mark.hash"), F.col("next_mark.hash")).alias("near_next"),
+        F.col("mark.pos").alias("positions"),
+        F.col("edited_mark.pos").alias("edited_positions"),
     )

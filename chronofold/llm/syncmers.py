@@ -36,8 +36,8 @@ CUT, REACH = r"[ioIO37!-/:-@\[-`{-~\x{700}-\x{10FFFF}]", 16
 UNITS = rf"\S{{0,{REACH - 1}}}?{CUT}|\S{{1,{REACH}}}(?!\S)|\S"
 #: Units of a k-mer and of an s-mer.
 K, S = 5, 2
-#: Rows of a range aimed at; ranges of the first cut, and of each of them in the second.
-RANGE_ROWS, RANGES, FINER = 2500, 4096, 1024
+#: Rows of a range aimed at; ranges of the first cut, and of each of them in the second; ranges that a task gets on average.
+RANGE_ROWS, RANGES, FINER, PER_TASK = 625, 4096, 1024, 4
 #: Ranges whose first rows are broadcast; of more they are joined by a shuffle.
 BROADCAST_RANGES = 100_000
 
@@ -125,7 +125,7 @@ def with_next(docs: DataFrame, made: dict[str, Column], doc_id: str = "doc_id",
         firsts = F.broadcast(firsts)  # a row of five numbers for each range
     marked = rows.join(firsts, (F.col("range") == F.col("frange")) & F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")), "left")
     spots = F.array_compact(F.array(F.struct("range", F.lit(0).alias("end")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(1).alias("end")))))
-    sent = marked.select("doc_id", "text", "h", F.inline(spots)).repartition(n, "range").withColumns(made)
+    sent = marked.select("doc_id", "text", "h", F.inline(spots)).repartition(-(-n // PER_TASK), "range").withColumns(made)
     window = Window.partitionBy("range").orderBy("end", F.asc_nulls_first("doc_id"), F.shiftrightunsigned("h", 1), "h")
     after = {f"next_{c}": F.lead(c).over(window) for c in ("text", *made)}
     return sent.withColumns(after).where("end = 0").drop("h", "range", "end")

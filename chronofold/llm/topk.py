@@ -1,16 +1,16 @@
 """Operator 7: exact top-k inner products from an impact-ordered, score-at-a-time index.
 
-Components are quantised to floor(256 x). Every block of rows becomes an index: in each dimension,
-and for either sign of the query, what a row adds to a fixed base is cut into ``LEVELS`` impact levels,
-and the rows of a level form a posting segment. A query processes segments of all dimensions
-by descending impact, adding each segment's impact to its rows. Then every row has bounds: the least
-it can have met, and the greatest it can have met plus, for its other dimensions, the greatest impact
-still to come there. Rows whose upper bound is under the k-th lower bound (or under the k-th exact
-score of earlier blocks) are proven out. Nothing else is: all rows that may still be members are
-rescored exactly. Equal bounds stay in, so ties are decided on exact scores and ids.
-
-Queries are taken in chunks of at most ``QUERY_BYTES``, which bounds what is sent to executors; all rows
-are indexed for each chunk. A task keeps k rows per query; the tasks' rows are ranked by a window.
+Components are quantised to floor(256 x). Rows are dealt into blocks of about ``ROW_BYTES``, each of which becomes an index: every dimension is
+centred on its mean in the block, the distances from it are cut into ``LEVELS`` levels, and the rows of a level form a
+posting segment with the least and the greatest distance in it. A segment's impact for a query is the
+greatest size of what it can add to a score. Queries process the segments of all dimensions by descending impact. After each
+share of ``ROUNDS`` every row has bounds: what its processed postings add at least and at most, and for each other
+dimension the least and the most that is still to come there. Rows whose upper bound is under the k-th best lower bound
+are proven out. A query stops as soon as no more than ``FEW`` of the rows (or 4 k) are possible members, else when all segments are
+processed; the possible members, and nobody else, are rescored exactly. Equal bounds stay in, so ties are decided on exact scores and ids.
+
+Queries are dealt into blocks of about ``QUERY_BYTES`` and meet the blocks of rows in a cogroup, so neither reaches the
+driver and a task holds one block of either. A task gives k rows for each query; those of all tasks are ranked by a window.
 
 Null vectors and those holding null or non-finite components take no part, nor do rows without an
 id. Only vectors of one length meet. Rows with the query's id are its own and no candidates; a row
@@ -26,70 +26,74 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEVELS, TOP = 16, 5
-QUERY_BYTES = 32 << 20
-#: Shares of a block's postings after which the proof is tried; with dense vectors later tries cost more than rescoring.
-ROUNDS = (1 / 4,)
+LEVELS, TOP = 256, 5
+ROW_BYTES, QUERY_BYTES = 4 << 20, 4 << 20
+#: Shares of a block's postings after which the proof is tried.
+ROUNDS = (1 / 2, 5 / 8, 3 / 4, 1)
+#: Share of a block's rows that is cheaper to rescore than to go on.
+FEW = 1 / 64
 
 
 class Index:
-    """One block of rows of one length."""
+    """One block of rows of one length; ``rescored`` counts the rows whose exact score was needed."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
+        self.ids, self.rows, self.rescored = ids, rows, 0
         exact = not rows.size or np.abs(rows).max() < 1 << 22  # then sums of products are exact in doubles
         self.exact = np.ascontiguousarray(rows, np.float64) if exact else None
         n, d = rows.shape
-        self.low, self.high = rows.min(0, initial=0), rows.max(0, initial=0)
-        self.signs = [self._segments(gain) for gain in (rows - self.low, self.high - rows)]
-
-    def _segments(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(least gain, greatest gain, ends, rows) of the segments, by dimension and level."""
-        n, d = gain.shape
-        level = gain * LEVELS // (self.high - self.low + 1) + np.arange(d) * LEVELS
+        self.centre = np.rint(rows.mean(0)).astype(np.int64) if n else np.zeros(d, np.int64)
+        far = rows - self.centre
+        low, high = far.min(0, initial=0), far.max(0, initial=0)
+        level = (far - low) * LEVELS // (high - low + 1) + np.arange(d) * LEVELS
         order = np.argsort(level.ravel(), kind="stable")
-        ends = np.cumsum(np.bincount(level.ravel(), minlength=d * LEVELS))
-        least, most = np.zeros(d * LEVELS, np.int64), np.zeros(d * LEVELS, np.int64)
-        full = np.flatnonzero(np.diff(ends, prepend=0))
+        self.count = np.bincount(level.ravel(), minlength=d * LEVELS)
+        self.posted = (order // max(d, 1)).astype(np.int32)  # rows of all segments, end to end
+        self.least, self.most = np.zeros(d * LEVELS), np.zeros(d * LEVELS)
+        full = np.flatnonzero(self.count)
         if len(full):
-            sorted_gain, begins = gain.ravel()[order], ends[full] - np.diff(ends, prepend=0)[full]
-            least[full], most[full] = np.minimum.reduceat(sorted_gain, begins), np.maximum.reduceat(sorted_gain, begins)
-        return least, most, ends, (order // max(d, 1)).astype(np.int32)
+            begins = (np.cumsum(self.count) - self.count)[full]
+            self.least[full], self.most[full] = np.minimum.reduceat(far.ravel()[order], begins), np.maximum.reduceat(far.ravel()[order], begins)
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of at most k rows that are no worse than ``floor``; exact."""
+    def possible(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Positions of the rows that processed segments do not prove out."""
         n, d = self.rows.shape
-        sign = query < 0
-        flip, weight = np.repeat(sign, LEVELS), np.repeat(np.abs(query), LEVELS)
-        (least, most, ends, rows), (least1, most1, ends1, rows1) = self.signs
-        least, most = np.where(flip, least1, least) * weight, np.where(flip, most1, most) * weight
-        count = np.where(flip, np.diff(ends1, prepend=0), np.diff(ends, prepend=0))
-        end = np.where(flip, ends1, ends)
-        base = float(query @ np.where(sign, self.high, self.low))
-        segments = np.argsort(-most, kind="stable")
-        done = np.cumsum(count[segments])
         alive = self.ids != own
-        for share in ROUNDS if n > 4 * k else ():
-            met = segments[: int(np.searchsorted(done, share * n * d, "left")) + 1]
-            met = met[count[met] > 0]
-            left = most.copy()
-            left[met] = 0
-            to_come = left.reshape(d, LEVELS).max(1)  # the greatest impact still to come
-            which = np.concatenate([(rows1 if flip[s] else rows)[end[s] - count[s] : end[s]] for s in met])
-            low = np.bincount(which, np.repeat(least[met], count[met]), n) + base
-            up = np.bincount(which, np.repeat(most[met] - to_come[met // LEVELS], count[met]), n) + (base + to_come.sum())
-            low[~alive] = -np.inf
-            bar = max(floor, np.partition(low, n - k)[n - k])
-            alive &= up >= bar
-            if np.count_nonzero(alive) <= 4 * k:
+        if n <= 4 * k:
+            return np.flatnonzero(alive)
+        weight = np.repeat(query.astype(np.float64), LEVELS)
+        ends = np.stack([weight * self.least, weight * self.most])
+        least, most = ends.min(0), ends.max(0)
+        segments = np.argsort(-np.maximum(-least, most), kind="stable")
+        segments = segments[self.count[segments] > 0]
+        done = np.cumsum(self.count[segments])
+        base = float(query @ self.centre)
+        for share in ROUNDS:
+            met = np.zeros(d * LEVELS, bool)
+            met[segments[: int(np.searchsorted(done, share * n * d)) + 1]] = True
+            left = ~met & (self.count > 0)
+            to_come = np.stack([np.where(left, least, np.inf).reshape(d, LEVELS).min(1), np.where(left, most, -np.inf).reshape(d, LEVELS).max(1)])
+            to_come[:, ~left.reshape(d, LEVELS).any(1)] = 0
+            which, dim = self.posted[np.repeat(met, self.count)], np.flatnonzero(met) // LEVELS
+            low = np.bincount(which, np.repeat(least[met] - to_come[0][dim], self.count[met]), n) + (base + to_come[0].sum())
+            up = np.bincount(which, np.repeat(most[met] - to_come[1][dim], self.count[met]), n) + (base + to_come[1].sum())
+            low[self.ids == own] = -np.inf
+            slack = 1e-9 * (1 + np.abs(low[np.isfinite(low)]).max(initial=0))  # of the sums' rounding
+            alive &= up >= np.partition(low, n - k)[n - k] - slack
+            if np.count_nonzero(alive) <= max(4 * k, FEW * n):
                 break
-        alive = np.flatnonzero(alive)
+        return np.flatnonzero(alive)
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best rows; exact."""
+        at = self.possible(query, own, k)
+        self.rescored += len(at)
         if self.exact is not None and (not len(query) or np.abs(query).max() < 1 << 22):
-            score = (self.exact[alive] @ query.astype(np.float64)).astype(np.int64)
+            score = (self.exact[at] @ query.astype(np.float64)).astype(np.int64)
         else:
-            score = self.rows[alive] @ query
-        best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][best], score[best]
+            score = self.rows[at] @ query
+        best = np.lexsort((self.ids[at], -score))[:k]
+        return self.ids[at][best], score[best]
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -99,58 +103,49 @@ def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return df.where(fit).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
 
 
-def _by_length(batch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """length: (ids, matrix), exact repetitions dropped."""
-    column = batch.column("v")
+    column = rows.column("v").combine_chunks()
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    ids, ends = batch.column("vec_id").to_numpy(), column.offsets.to_numpy()
+    if not len(column):
+        return {}
+    ids, ends = rows.column("vec_id").to_numpy(), column.offsets.to_numpy()
     values, sizes, out = column.values.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(ends), {}
     for d in np.unique(sizes):
         mine = np.flatnonzero(sizes == d)
-        rows = np.concatenate([ids[mine][:, None], values[ends[mine][:, None] + np.arange(d)]], 1)
-        rows = np.unique(rows, axis=0)
-        out[int(d)] = rows[:, 0], np.ascontiguousarray(rows[:, 1:])
+        matrix = np.concatenate([ids[mine][:, None], values[ends[mine][:, None] + np.arange(d)]], 1)
+        matrix = np.unique(matrix, axis=0)
+        out[int(d)] = matrix[:, 0], np.ascontiguousarray(matrix[:, 1:])
     return out
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int = TOP, vec_id: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
+def top_k(df: DataFrame, queries: DataFrame, k: int = TOP, vec_id: str = "vec_id", vector: str = "embedding", row_bytes: int = ROW_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows; ties to the smaller id."""
-    rows, asked = quantised(df, vec_id, vector), quantised(queries, vec_id, vector).distinct()
-    size = asked.agg(F.coalesce(F.sum(F.size("v") + 2), F.lit(0)).alias("n")).first()["n"] * 8
-    chunks = max(1, -(-int(size) // query_bytes))
-    parts = []
-    for c in range(chunks):
-        chunk = _by_length(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow())  # bounded by query_bytes
-        parts.append(rows.mapInArrow(_searcher(chunk, k), "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    # a row repeated in two tasks is still one candidate
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows, asked = quantised(df, vec_id, vector).distinct(), quantised(queries, vec_id, vector).distinct()
 
+    def blocks(of: DataFrame, size: int) -> int:
+        return max(1, -(-8 * of.agg(F.coalesce(F.sum(F.size("v") + 2), F.lit(0)).alias("n")).first()["n"] // size))
 
-def _searcher(chunk: dict, k: int):
-    def run(batches):
-        best = {d: [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids] for d, (ids, _) in chunk.items()}
-        for batch in batches:
-            for d, (ids, matrix) in _by_length(batch).items() if batch.num_rows else ():
-                if d not in chunk:
-                    continue
+    n_rows, n_asked = blocks(quantised(df, vec_id, vector), row_bytes), blocks(quantised(queries, vec_id, vector), query_bytes)
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("vec_id", "v", block(n_rows).alias("r"), every(n_asked).alias("q"))
+    right = asked.select("vec_id", "v", every(n_rows).alias("r"), block(n_asked).alias("q"))
+
+    def search(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        made, asked = [(np.zeros(0, np.int64),) * 3], _by_length(theirs)
+        for d, (ids, matrix) in _by_length(ours).items():
+            if d in asked:
                 index = Index(ids, matrix)
-                for q, (own, query) in enumerate(zip(*chunk[d], strict=True)):
-                    had, scores = best[d][q]
-                    floor = scores[-1] if len(scores) >= k else -np.inf
-                    new, points = index.search(query, int(own), k, floor)
-                    both = np.unique(np.stack([np.append(scores, points), np.append(had, new)]), axis=1)
-                    keep = np.lexsort((both[1], -both[0]))[:k]
-                    best[d][q] = both[1][keep], both[0][keep]
-        for d, (ids, _) in chunk.items():
-            sizes = [len(i) for i, _ in best[d]]
-            columns = np.repeat(ids, sizes), np.concatenate([i for i, _ in best[d]] or [ids]), np.concatenate([s for _, s in best[d]] or [ids])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
-
-    return run
+                for own, query in zip(*asked[d], strict=True):
+                    found, score = index.search(query, int(own), k)
+                    made.append((np.full(len(found), own, np.int64), found, score))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["query_id", "vec_id", "score"])
+
+    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(search, "query_id long, vec_id long, score long")
+    # vectors that differ under one id are one candidate for each score
+    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ Components are quantised to floor(256 x). Rows are dealt into blocks of about ``
 centred on its mean in the block, the distances from it are cut into ``LEVELS`` levels, and the rows of a level form a
 posting segment with the least and the greatest distance in it. A segment's impact for a query is the
 greatest size of what it can add to a score. Queries process the segments of all dimensions by descending impact. After each
-share of ``ROUNDS`` every row has bounds: what its processed postings add at least and at most, and for each other
-dimension the least and the most that is still to come there. Rows whose upper bound is under the k-th best lower bound
-are proven out. A query stops as soon as no more than ``FEW`` of the rows (or 4 k) are possible members, else when all segments are
-processed; the possible members, and nobody else, are rescored exactly. Equal bounds stay in, so ties are decided on exact scores and ids.
+share of ``ROUNDS`` every row has an upper bound: the most that its processed postings add, and for each other
+dimension the most that is still to come there. The 4 k rows with the highest bounds are scored exactly; rows whose upper bound is under
+the k-th best of these scores are proven out. A query stops as soon as no more than ``FEW`` of the rows (or 4 k) are possible members, else when all
+segments are processed; the possible members, and nobody else, are rescored exactly. Equal bounds stay in, so ties are decided on exact scores and ids.
 
 Queries are dealt into blocks of about ``QUERY_BYTES`` and meet the blocks of rows in a cogroup, so neither reaches the
 driver and a task holds one block of either. A task gives k rows for each query; those of all tasks are ranked by a window.
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEVELS, TOP = 256, 5
+LEVELS, TOP = 64, 5
 ROW_BYTES, QUERY_BYTES = 4 << 20, 4 << 20
 #: Shares of a block's postings after which the proof is tried.
-ROUNDS = (1 / 2, 5 / 8, 3 / 4, 1)
+ROUNDS = (7 / 16, 9 / 16, 3 / 4, 1)
 #: Share of a block's rows that is cheaper to rescore than to go on.
-FEW = 1 / 64
+FEW = 1 / 8
 
 
 class Index:
@@ -62,36 +62,38 @@ class Index:
         if n <= 4 * k:
             return np.flatnonzero(alive)
         weight = np.repeat(query.astype(np.float64), LEVELS)
-        ends = np.stack([weight * self.least, weight * self.most])
-        least, most = ends.min(0), ends.max(0)
-        segments = np.argsort(-np.maximum(-least, most), kind="stable")
+        ends = weight * self.least, weight * self.most
+        most = np.maximum(*ends)
+        segments = np.argsort(-np.maximum(-np.minimum(*ends), most), kind="stable")
         segments = segments[self.count[segments] > 0]
         done = np.cumsum(self.count[segments])
         base = float(query @ self.centre)
         for share in ROUNDS:
             met = np.zeros(d * LEVELS, bool)
             met[segments[: int(np.searchsorted(done, share * n * d)) + 1]] = True
-            left = ~met & (self.count > 0)
-            to_come = np.stack([np.where(left, least, np.inf).reshape(d, LEVELS).min(1), np.where(left, most, -np.inf).reshape(d, LEVELS).max(1)])
-            to_come[:, ~left.reshape(d, LEVELS).any(1)] = 0
-            which, dim = self.posted[np.repeat(met, self.count)], np.flatnonzero(met) // LEVELS
-            low = np.bincount(which, np.repeat(least[met] - to_come[0][dim], self.count[met]), n) + (base + to_come[0].sum())
-            up = np.bincount(which, np.repeat(most[met] - to_come[1][dim], self.count[met]), n) + (base + to_come[1].sum())
-            low[self.ids == own] = -np.inf
-            slack = 1e-9 * (1 + np.abs(low[np.isfinite(low)]).max(initial=0))  # of the sums' rounding
-            alive &= up >= np.partition(low, n - k)[n - k] - slack
-            if np.count_nonzero(alive) <= max(4 * k, FEW * n):
+            to_come = np.where(~met & (self.count > 0), most, -np.inf).reshape(d, LEVELS).max(1)
+            to_come[np.isneginf(to_come)] = 0  # all of the dimension is processed
+            gain = np.repeat(most[met] - to_come[np.flatnonzero(met) // LEVELS], self.count[met])
+            up = np.bincount(self.posted[np.repeat(met, self.count)], gain, n) + (base + to_come.sum())
+            up += 1e-9 * np.abs(up).max()  # more than the sums' rounding
+            up[~alive] = -np.inf
+            first = np.argpartition(up, n - 4 * k)[n - 4 * k :]
+            bar = np.sort(self.scores(first[alive[first]], query))[-k:]
+            possible = up >= (bar[0] if len(bar) == k else -np.inf)
+            if np.count_nonzero(possible) <= max(4 * k, FEW * n):
                 break
-        return np.flatnonzero(alive)
+        return np.flatnonzero(possible & alive)
+
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        if self.exact is not None and (not len(query) or np.abs(query).max() < 1 << 22):
+            return (self.exact[at] @ query.astype(np.float64)).astype(np.int64)
+        return self.rows[at] @ query
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows; exact."""
         at = self.possible(query, own, k)
         self.rescored += len(at)
-        if self.exact is not None and (not len(query) or np.abs(query).max() < 1 << 22):
-            score = (self.exact[at] @ query.astype(np.float64)).astype(np.int64)
-        else:
-            score = self.rows[at] @ query
+        score = self.scores(at, query)
         best = np.lexsort((self.ids[at], -score))[:k]
         return self.ids[at][best], score[best]
 

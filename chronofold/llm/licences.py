@@ -4,12 +4,13 @@ A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before
 normalised (A-Z lower-cased, every run of other characters than letters a-z and digits is one space)
 and looked up among the known licence sentences. The identifiers of a text, in order, are matched
 against the licence rules: a rule is an ordered list of identifiers that must occur in that order;
-other identifiers may stand between.
+other identifiers may stand between. The longest rule wins: where a longer rule goes on from the same
+identifiers, up to the next occurrence of the first one, the shorter is not reported there.
 
 Published texts are wrapped, and stand behind comment marks. So a known sentence is also found where
 it fills several lines in a row that no blank line, and no end of a sentence, parts: marks and breaks are
 spaces once normalised. Such a find stands at its first line, after that line's own. ``n_sentences`` counts pieces between line ends
-and ends of sentences, wrapped or not. ORACLE_SQL looks at pieces only.
+and ends of sentences, wrapped or not.
 
 Everything is local to a row: no shuffle, no join, and both tables are fixed and small. Null and empty
 texts have no sentences and no licences. Repeated rows are scanned each on their own. The added
@@ -45,6 +46,13 @@ SENTENCES = (
     ("gpl3-notice", "Licensed under the GNU General Public License v3.0."),
     ("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl2-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("zlib-as-is", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("boost-notice", "Distributed under the Boost Software License, Version 1.0."),
     ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by-nc-4-notice", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4-notice", "Licensed under CC BY 4.0."),
@@ -64,6 +72,11 @@ RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("GPL-3.0", ("gpl3-notice",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl2-free", "lgpl-hope")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-notice",)),
     ("MPL-2.0", ("mpl2-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("CC-BY-4.0", ("cc-by-4-notice",)),
@@ -71,6 +84,10 @@ RULES = (
     ("CC0-1.0", ("cc0-notice",)),
     ("Unlicense", ("unlicense-public",)),
 )
+#: Every licence above may also be named by a tag line of its own.
+TAGGED = tuple(dict.fromkeys(name for name, _ in RULES))
+SENTENCES += tuple((f"spdx-{name}", f"SPDX-License-Identifier: {name}") for name in TAGGED)
+RULES += tuple((name, (f"spdx-{name}",)) for name in TAGGED)
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Where sentences end; \v is left to the normalisation, which reads it as a space.
 END = r"[\r\n]+|[.!?][ \t\r\n]+"
@@ -95,6 +112,30 @@ def keys() -> dict[str, str]:
     return {max(map(normalised, re.split(END, s)), key=len): i for i, s in SENTENCES}
 
 
+def longer(ids: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The rules that go on where ``ids`` ends."""
+    return [other for _, other in RULES if len(other) > len(ids) and other[: len(ids)] == ids]
+
+
+def pattern(ids: tuple[str, ...]) -> str:
+    return "%" + "%".join(f"|{i}|" for i in ids) + "%"
+
+
+def obeys(line: Column, ids: tuple[str, ...]) -> Column:
+    """A line of identifiers in bars obeys a rule, and no longer rule in its place."""
+    if not (more := longer(ids)):
+        return line.like(pattern(ids))
+
+    def here(part: Column) -> Column:
+        out = part.like(pattern(ids[1:]))
+        for other in more:
+            out &= ~part.like(pattern(other[1:]))
+        return out
+
+    parts = F.split(line, rf"\|{ids[0]}\|")  # what follows each occurrence of the first identifier
+    return F.exists(F.slice(parts, F.lit(2), F.size(parts)), here)
+
+
 def sentences(text: Column) -> Column:
     """array<array<string>>: the normalised lines of each sentence; all lines in order are the pieces between ENDs."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWERED)
@@ -129,7 +170,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     at = F.flatten(F.transform("sentence_ids", lambda lines: known_at(lines, known)))
     found = found.withColumn("sentence_ids", F.transform(at, lambda k: F.element_at(names, k)))
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
-    hits = [F.when(line.like("%" + "%".join(f"|{i}|" for i in ids) + "%"), F.lit(name)) for name, ids in RULES]
+    hits = [F.when(obeys(line, ids), F.lit(name)) for name, ids in RULES]
     return found.withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))))
 
 
@@ -139,17 +180,31 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """Independent of the columns above: every run of lines of a sentence is put together and looked up."""
     known = keys()
     values = ", ".join(f"('{k}', '{i}')" for k, i in known.items())
-    hits = ", ".join(f"case when line like '%{'%'.join(f'|{i}|' for i in ids)}%' then '{name}' end" for name, ids in RULES)
-    end = END.replace("\\r", "\\x0D").replace("\\n", "\\x0A").replace("\\t", "\\x09")
+    starts = ", ".join(f"'{k}'" for k in sorted({k.split(" ")[0] for k in known}))
+    most = max(k.count(" ") + 1 for k in known)
+
+    def hit(ids: tuple[str, ...]) -> str:
+        if not (more := longer(ids)):
+            return f"line like '{pattern(ids)}'"
+        tests = " and ".join([f"x like '{pattern(ids[1:])}'", *(f"x not like '{pattern(o[1:])}'" for o in more)])
+        return f"len(list_filter(string_split(line, '|{ids[0]}|')[2:], lambda x: {tests})) > 0"
+
+    hits = ", ".join(f"case when {hit(ids)} then '{name}' end" for name, ids in RULES)
     return f"""
 with k(sentence, id) as (values {values}),
-s as (select doc_id, list_filter(list_transform(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{end}'),
-             lambda x: trim(regexp_replace(x, '{OTHER}', ' ', 'g'), ' ')), lambda x: x <> '') as ss from documents),
-u as (select doc_id, unnest(ss) as sentence, unnest(range(1, len(ss) + 1)) as pos from s),
-i as (select doc_id, string_agg(id, ',' order by pos) as ids, count(*) as n from u join k using (sentence) group by doc_id),
-j as (select s.doc_id, len(ss) as n_sentences, coalesce(n, 0) as n_known, coalesce(ids, '') as sentence_ids, '|' || replace(coalesce(ids, ''), ',', '||') || '|' as line from s left join i using (doc_id))
+t as (select doc_id, row_number() over () as rn, replace(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), chr(13) || chr(10), chr(10)) as low from documents),
+s as (select rn, unnest(string_split(regexp_replace(low, '[.!?][ \x09\x0D\x0A]+|[\x0D\x0A][^a-z0-9\x0D\x0A]*[\x0D\x0A]', chr(1), 'g'), chr(1))) as s,
+        unnest(range(1, 1 + len(string_split(regexp_replace(low, '[.!?][ \x09\x0D\x0A]+|[\x0D\x0A][^a-z0-9\x0D\x0A]*[\x0D\x0A]', chr(1), 'g'), chr(1))))) as nth from t),
+l as (select rn, nth, list_filter(list_transform(regexp_split_to_array(s, '[\x0D\x0A]+'), lambda x: trim(regexp_replace(x, '{OTHER}', ' ', 'g'), ' ')), lambda x: x <> '') as ls from s),
+b as (select rn, nth, ls, unnest(range(1, len(ls) + 1)) as i from l),
+r as (select rn, nth, i, unnest(range(i, least(len(ls) + 1, i + {most}))) as j, ls from b where string_split(ls[i], ' ')[1] in ({starts})),
+f as (select rn, string_agg(id, ',' order by nth, i, j) as ids, count(*) as n from r join k on k.sentence = array_to_string(ls[i:j], ' ') group by rn),
+c as (select rn, sum(len(ls)) as n from l group by rn),
+j as (select t.doc_id, coalesce(c.n, 0) as n_sentences, coalesce(f.n, 0) as n_known, coalesce(ids, '') as sentence_ids, '|' || replace(coalesce(ids, ''), ',', '||') || '|' as line
+      from t left join c using (rn) left join f using (rn))
 select doc_id, cast(n_sentences as bigint) as n_sentences, cast(n_known as bigint) as n_known, sentence_ids,
        array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x is not null))), ',') as licences
 from j"""

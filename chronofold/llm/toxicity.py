@@ -11,7 +11,7 @@ The threshold is calibrated by language, on a part of the training rows that the
 seen. The language is read from the text by fixed function words, never from the column; the score
 is the logistic of the distance to that threshold, so 0.5 is the decision.
 
-Only the labelled sample is bounded (``POSITIVES`` and ``NEGATIVES`` rows in expectation, by a hash of
+Only the labelled sample is bounded (``POSITIVES`` and ``NEGATIVES`` rows and ``TRAIN_CHARS`` characters in expectation, by a hash of
 the id). Null and empty texts are scored like a text without words. Labels other than 0 and 1 teach
 nothing; of several labels of an id the toxic one counts. Without labels of both kinds every
 score is 0. ``score`` and ``predicted`` replace input columns of these names.
@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, hash_words, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
+from .common import SPACE, fresh, hash_words, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
 
 #: Rows for words, then for beginnings of words; the row PAD after them is zero.
 BUCKETS, BEGINNINGS = 1 << 15, 1 << 14
 PAD, LEAD = BUCKETS + BEGINNINGS, 4
 WIDTH, FILTERS, SIZES = 8, 8, (1, 2, 3)
 POSITIVES, NEGATIVES = 2500, 5000
+#: Characters of the labelled sample, in expectation; of longer texts fewer are drawn.
+TRAIN_CHARS = 64_000_000
 BLOCK = 1 << 16
 #: Function words that tell a text's language for its threshold.
 WORDS = {
@@ -86,7 +88,7 @@ class Net:
         texts, n = len(first) - 1, len(ids)
         maxima = np.full((texts, len(self.bias)), -np.inf, np.float32)
         hits = np.zeros((texts, len(WORDS)), np.float64)
-        padded = _padded(ids)
+        padded, ends = _padded(ids), np.concatenate([first[1:] - 2, first[1:] - 1])
         for at in range(0, n, BLOCK):
             end = min(n, at + BLOCK)
             got = seen[padded[at : end + max(SIZES) - 1, 0]]
@@ -98,7 +100,9 @@ class Net:
             low = int(np.searchsorted(first, at, "right")) - 1
             high = int(np.searchsorted(first, end, "left"))
             cuts = np.maximum(first[low:high], at) - at
-            maxima[low:high] = np.maximum(maxima[low:high], np.maximum.reduceat(np.hstack(parts), cuts, axis=0))
+            sums = np.hstack(parts)
+            sums[ends[(ends >= at) & (ends < end)] - at] = 0  # windows that begin behind a text's last word do not look into the next text
+            maxima[low:high] = np.maximum(maxima[low:high], np.maximum.reduceat(sums, cuts, axis=0))
             hits[low:high] += np.add.reduceat(got[: end - at, c:], cuts, axis=0)
         return maxima, hits
 
@@ -189,6 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     u = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("label_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.where(u < F.when(F.col("toxic") == 1, positives / sizes[1]).otherwise(negatives / sizes[0]))
     rows = docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(drawn), F.col(doc_id) == F.col("label_id"))  # at most about positives + negatives rows
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    if chars > TRAIN_CHARS:
+        again = F.pmod(F.xxhash64(F.lit("toxicity chars"), F.col("label_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        rows = rows.where(again < TRAIN_CHARS / chars)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, first = buckets(batch.column("text"))
@@ -242,4 +250,5 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; columns stay as they are."""
     small_batches(spark)
     net = fit(docs, table(spark, sf_dir, "labels"), ~hold_out(F.col("label_id"), 5, 0))
-    return score(docs, net, names=("score__", "predicted__")).where("predicted__ = 0").select(*docs.columns)
+    names = fresh(docs, "score__", "predicted__")
+    return score(docs, net, names=tuple(names)).where(F.col(names[1]) == 0).select(*docs.columns)

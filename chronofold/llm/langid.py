@@ -6,7 +6,7 @@ trained in numpy) first tell the language families apart, one against one; withi
 one SVM per pair of languages votes, ties going to the larger sum of margins.
 
 Only the sample of labelled rows is bounded (``SAMPLE`` rows in expectation, drawn by a hash of the id at
-one rate per language); their features are made on executors and collected as 8-bit counts.
+one rate per language); their features are made on executors and collected as the numbers and counts of those that occur.
 Prediction reads every text whole.
 
 Null texts and texts without a letter get ``und`` with score 0, as does everything when there is
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
+from .common import LOWER, fresh, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
 
 #: Languages of a family; others are families of their own.
 FAMILIES = {
@@ -150,14 +150,19 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     drawn = rows.where(u < rate).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [np.minimum(c, 255).astype(np.uint8) for _, c in counts(*text_bytes(batch.column("text")))]
-        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for m in made for r in m], pa.binary())], names=["lang", "x"])
+        rows = [r for _, c in counts(*text_bytes(batch.column("text"))) for r in c]
+        at = [np.flatnonzero(r) for r in rows]
+        made = [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in ([i.astype(np.int16) for i in at], [r[i].astype(np.float32) for r, i in zip(rows, at, strict=True)])]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), *made], names=["lang", "at", "n"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in map_arrow(drawn, run, "lang string, x binary").collect())  # the bounded sample
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in map_arrow(drawn, run, "lang string, at binary, n binary").collect())  # the bounded sample, at most DIMENSIONS features each
     if not got:
         return None
-    x = scaled(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), DIMENSIONS))
-    return Model(x, [k for k, _ in got])
+    x = np.zeros((len(got), DIMENSIONS), np.float32)
+    for row, (_, at, n) in zip(x, got, strict=True):
+        row[np.frombuffer(at, np.int16)] = np.frombuffer(n, np.float32)
+    x = scaled(x)
+    return Model(x, [k for k, *_ in got])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -165,17 +170,19 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tup
     if model is None:
         return docs.drop(*names).withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
 
+    letter = fresh(docs, "has_letter__")[0]
+
     def run(batch: pa.RecordBatch) -> dict:
         langs, scores = [], []
         for _, c in counts(*text_bytes(batch.column(text))):
             got, sure = model.predict(scaled(c))
             langs += got
             scores.append(sure)
-        letters = batch.column("has_letter__").to_numpy(zero_copy_only=False)
+        letters = batch.column(letter).to_numpy(zero_copy_only=False)
         score = np.where(letters, np.concatenate(scores), 0.0)
         return {names[0]: pa.array([k if ok else UNKNOWN for k, ok in zip(langs, letters, strict=True)]), names[1]: pa.array(score)}
 
-    return with_arrow(docs.withColumn("has_letter__", has_letter(F.col(text))), run, f"{names[0]} string, {names[1]} double").drop("has_letter__")
+    return with_arrow(docs.withColumn(letter, has_letter(F.col(text))), run, f"{names[0]} string, {names[1]} double").drop(letter)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,4 +196,5 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Pipeline stage: documents without an identifiable language go; columns stay as they are."""
     small_batches(spark)
     model = fit(docs, ~hold_out(F.col("doc_id"), 5, 0))
-    return predict(docs, model, names=("lang_pred__", "score__")).where(F.col("lang_pred__") != UNKNOWN).select(*docs.columns)
+    names = fresh(docs, "lang_pred__", "score__")
+    return predict(docs, model, names=tuple(names)).where(F.col(names[0]) != UNKNOWN).select(*docs.columns)

@@ -8,7 +8,7 @@ probabilities that do not exceed the draw. Copies are exploded and shuffled glob
 
 The draw depends on nothing but seed and id, so lost tasks repeat it. Only the table of sources is
 joined, with integer sizes that do not depend on the order of summation; it is broadcast only if it
-has at most ``BROADCAST_SOURCES`` rows, else the documents are dealt out by source with salt.
+has at most ``BROADCAST_SOURCES`` rows and ``BROADCAST_CELLS`` probabilities, else the documents are dealt out by source with salt.
 A null source is a source of its own; null or empty texts have size 0 and share their source's
 rate; a source of total size 0 and a source without weight get no copies. Rows with the same
 id get the same number of copies. ``copy_no``, ``n_copies`` and ``shuffle_key`` replace input
@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, fresh, table
 
 SEED = "mix-1"
 #: Without weights, a source's share goes with its size to this power.
@@ -30,6 +30,8 @@ TEMPERATURE = 0.5
 #: The output's size over the input's.
 EPOCHS = 1.0
 BROADCAST_SOURCES = 100_000
+#: Cumulative probabilities of all sources together, for the same.
+BROADCAST_CELLS = 8_000_000
 SALTS = 64
 
 
@@ -54,9 +56,9 @@ def cumulative(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, epochs: float, source: str, text: str) -> DataFrame:
-    """One row per source: (mix_source__, rate, cdf)."""
+    """One row per source: (mix_source__, rate). The sizes are checkpointed, so texts are read once for them."""
     size = F.coalesce(F.length(text), F.lit(0)).cast("long")
-    sizes = docs.groupBy(F.col(source).alias("mix_source__")).agg(F.sum(size).alias("size"))
+    sizes = checkpointed(docs.groupBy(F.col(source).alias("mix_source__")).agg(F.sum(size).alias("size")))
     if weights is None:
         share = F.pow(F.col("size").cast("double"), F.lit(temperature))
     else:
@@ -67,27 +69,32 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, temperature: flo
     whole = sizes.agg(F.sum(F.round(F.col("share") * 1e6).cast("decimal(38,0)")).cast("double").alias("shares"), F.sum("size").alias("total"))
     rated = sizes.join(F.broadcast(whole), F.lit(True))  # one row
     rate = F.when((F.col("size") > 0) & (F.col("shares") > 0), F.round(F.col("share") * 1e6) / F.col("shares") * F.col("total") * epochs / F.col("size")).otherwise(0.0)
-    return rated.select("mix_source__", rate.alias("rate")).withColumn("cdf", cumulative(F.col("rate")))
-
-
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` repeated to the target weights, plus copy_no (from 1), n_copies and shuffle_key."""
-    docs = docs.drop("copy_no", "n_copies", "shuffle_key")
-    table_ = rates(docs, weights, temperature, epochs, source, text).select("mix_source__", F.col("cdf").alias("mix_cdf__"))
-    if table_.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table_), F.col(source).eqNullSafe(F.col("mix_source__")))
+    return rated.select("mix_source__", rate.alias("rate"))
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text", names: tuple[str, str, str] = ("copy_no", "n_copies", "shuffle_key")) -> DataFrame:
+    """``docs`` repeated to the target weights, plus copy_no (from 1), n_copies and shuffle_key under these ``names``."""
+    copy_no, n_copies, shuffle_key = names
+    docs = docs.drop(*names)
+    its_source, its_cdf, salt = fresh(docs, "mix_source__", "mix_cdf__", "mix_salt__")
+    rated = rates(docs, weights, temperature, epochs, source, text)
+    seen = rated.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("rate") + 12 * F.sqrt("rate") + 42), F.lit(0.0)).alias("cells")).first()
+    table_ = rated.select(F.col("mix_source__").alias(its_source), cumulative(F.col("rate")).alias(its_cdf))
+    if seen["n"] <= BROADCAST_SOURCES and seen["cells"] <= BROADCAST_CELLS:
+        joined = docs.join(F.broadcast(table_), F.col(source).eqNullSafe(F.col(its_source)))
     else:
-        left = docs.withColumn("mix_salt__", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)))
-        right = table_.withColumn("mix_salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        joined = left.join(right, F.col(source).eqNullSafe(F.col("mix_source__")) & (left["mix_salt__"] == right["mix_salt__"])).drop(left["mix_salt__"]).drop(right["mix_salt__"])
-    counted = joined.withColumn("mix_u__", uniform(seed, F.col(doc_id))).withColumn("n_copies", F.size(F.filter("mix_cdf__", lambda c: c <= F.col("mix_u__"))).cast("long"))
-    copies = counted.drop("mix_source__", "mix_cdf__", "mix_u__").where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    return copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
+        left = docs.withColumn(salt, F.pmod(F.xxhash64(doc_id), F.lit(SALTS)))
+        right = table_.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        joined = left.join(right, F.col(source).eqNullSafe(F.col(its_source)) & (left[salt] == right[salt])).drop(left[salt]).drop(right[salt])
+    drawn = uniform(seed, F.col(doc_id))
+    count = F.transform(F.array(drawn), lambda u: F.size(F.filter(its_cdf, lambda c: c <= u)))[0].cast("long")  # the draw once per row
+    copies = joined.withColumn(n_copies, count).drop(its_source, its_cdf).where(F.col(n_copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
+    return copies.withColumn(shuffle_key, F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(copy_no).cast("string")).cast("binary")))
 
 
-def shuffle(mixed: DataFrame) -> DataFrame:
+def shuffle(mixed: DataFrame, key: str = "shuffle_key") -> DataFrame:
     """The global order: dealt by the key's hash, sorted by the key in each partition."""
-    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return mixed.repartition(key).sortWithinPartitions(key)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +103,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mixture in its global order, with the columns of ``docs``."""
-    return shuffle(mix(docs)).select(*docs.columns)
+    """Pipeline stage: the mixture in its global order, with the columns of ``docs``, whatever their names."""
+    names = fresh(docs, "copy_no", "n_copies", "shuffle_key")
+    return shuffle(mix(docs, names=tuple(names)), names[2]).select(*docs.columns)
 
 
 ORACLE_SQL = f"""

@@ -61,6 +61,39 @@ def map_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, struct)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until ``df`` has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows by which a key counts as hot, at least; of hot keys there are at most HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, rows: str, added: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` inner-joined with the columns ``added`` of ``right``, which has one row for each key.
+
+    ``rows`` is ``right``'s column with the number of left rows of a key. Keys of more than ``hot_rows`` of them (and of more than
+    their ``HOT_KEYS``-th part in all) are at most ``HOT_KEYS``: their rows of ``right`` are broadcast and
+    their rows of ``left`` stay where they are; the others are shuffled. Null keys meet nothing.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col(rows) > max(hot_rows, total // HOT_KEYS)
+    flag, *names = fresh(left, "hot__", *(f"{c}__" for c in added))
+    right = right.select(key, rows, *[F.col(c).alias(n) for c, n in zip(added, names, strict=True)])
+    mark = F.broadcast(right.where(hot).select(key, *names, F.lit(True).alias(flag)))  # at most HOT_KEYS rows
+    marked = left.join(mark, key, "left")
+    cold = marked.where(F.col(flag).isNull()).select(*left.columns).join(right.where(~hot).drop(rows), key)
+    out = marked.where(F.col(flag)).select(*left.columns, *names).unionByName(cold.select(*left.columns, *names))
+    return out.withColumnsRenamed(dict(zip(names, added, strict=True)))
+
+
 def _parse(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 

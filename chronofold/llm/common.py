@@ -5,6 +5,7 @@ Arrow functions here run on executors and hold one Arrow batch of texts at a tim
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,15 @@ def small_batches(spark: SparkSession, rows: int = 250) -> None:
             spark.conf.set(key, str(rows))
 
 
+def trim() -> None:
+    """Hands memory that a training has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's readers only (any Hadoop file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

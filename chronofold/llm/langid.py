@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
+from .common import LOWER, fresh, hold_out, map_arrow, small_batches, table, text_bytes, trim, with_arrow
 
 #: Languages of a family; others are families of their own.
 FAMILIES = {
@@ -70,21 +70,22 @@ def counts(data: np.ndarray, offsets: np.ndarray):
 
 
 def scaled(matrix: np.ndarray) -> np.ndarray:
-    x = np.sqrt(matrix.astype(np.float32))
-    norm = np.sqrt((x * x).sum(1, keepdims=True))
-    return x / np.maximum(norm, 1e-9)
+    """Square roots at unit length; a matrix of 32-bit floats is changed in place."""
+    x = matrix.astype(np.float32, copy=False)
+    np.sqrt(x, out=x)
+    x /= np.maximum(np.sqrt(np.einsum("nd,nd->n", x, x)), 1e-9)[:, None]
+    return x
 
 
 def svm(x: np.ndarray, sign: np.ndarray, penalty: float = 1e-5, steps: int = 120) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss; accelerated full gradients."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     for k in range(steps):
-        slack = np.maximum(0, 1 - sign * (x @ v))
-        grad = -2 * (x.T @ (weight * sign * slack)) + penalty * v
-        new = v - 0.25 * grad
-        w, v = new, new + k / (k + 3) * (new - w)
+        slack = weight * sign * np.maximum(0, 1 - sign * (x @ v[:-1] + v[-1]))
+        grad = -2 * np.append(x.T @ slack, slack.sum()) + penalty * v
+        new = v - np.float32(0.25) * grad
+        w, v = new, new + np.float32(k / (k + 3)) * (new - w)
     return w
 
 
@@ -97,14 +98,14 @@ class Model:
         groups = np.array([family(name) for name in langs], object)
         self.order = sorted(self.families)
         self.top = self._pairs(x, groups, self.order)
-        self.inner = {f: self._pairs(x[groups == f], names[groups == f], ls) for f, ls in self.families.items()}
+        self.inner = {f: self._pairs(x if (groups == f).all() else x[groups == f], names[groups == f], ls) for f, ls in self.families.items()}
 
     @staticmethod
     def _pairs(x, labels, classes) -> np.ndarray:
         made = []
         for a, b in combinations(classes, 2):
             mine = (labels == a) | (labels == b)
-            made.append(svm(x[mine], np.where(labels[mine] == a, 1, -1).astype(np.float32)))
+            made.append(svm(x if mine.all() else x[mine], np.where(labels[mine] == a, 1, -1).astype(np.float32)))
         return np.array(made, np.float32).reshape(len(made), x.shape[1] + 1)
 
     @staticmethod
@@ -161,8 +162,10 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     x = np.zeros((len(got), DIMENSIONS), np.float32)
     for row, (_, at, n) in zip(x, got, strict=True):
         row[np.frombuffer(at, np.int16)] = np.frombuffer(n, np.float32)
-    x = scaled(x)
-    return Model(x, [k for k, *_ in got])
+    model = Model(scaled(x), [k for k, *_ in got])
+    del x, got
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

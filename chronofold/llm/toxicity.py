@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, hash_words, hold_out, map_arrow, small_batches, table, text_bytes, with_arrow
+from .common import SPACE, fresh, hash_words, hold_out, map_arrow, small_batches, table, text_bytes, trim, with_arrow
 
 #: Rows for words, then for beginnings of words; the row PAD after them is zero.
 BUCKETS, BEGINNINGS = 1 << 15, 1 << 14
@@ -221,6 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     share = np.where(y > 0, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
     rest = aside if 0 < y[aside].sum() < aside.sum() else ~aside
     net.calibrate([t for t, s in zip(texts, rest, strict=True) if s], y[rest], share[rest])
+    del got, texts
+    trim()
     return net
 
 

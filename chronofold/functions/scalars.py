@@ -217,3 +217,8 @@ def uri_matches(uri: Column, pattern: str) -> Column:
 def fill(values: Column, value: Column) -> Column:
     """Appends a value that is missing; what is repeated already stays."""
     return F.when(F.array_contains(values, value), values).otherwise(F.array_append(values, value))
+
+
+def shared_types(types: Column, wanted: list[str]) -> Column:
+    """The event types of an array that are among those wanted, sorted."""
+    return F.array_sort(F.array_intersect(types, F.array(*map(F.lit, wanted)).cast("array<string>")))

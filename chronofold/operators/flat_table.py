@@ -50,12 +50,12 @@ class FlatTable:
         return {t for part in (self.maps, self.steps, self.values) for c in part.values() for t in c} | set(self.deletes)
 
     def run(self, slices: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-        rows = slices.where(F.col("event_type").isin(*self.types()))
+        rows, place = slices.where(F.col("event_type").isin(*self.types())), F.struct("sequence", "ordinal")
         if self.deletes:
-            gone = rows.where(F.col("event_type").isin(*self.deletes)).groupBy(*keys).agg(F.max("sequence").alias("ld"))
-            rows = rows.join(gone, keys, "left").where(F.col("sequence") > F.coalesce("ld", F.lit(-1)))
+            gone = rows.where(F.col("event_type").isin(*self.deletes)).groupBy(*keys).agg(F.max(place).alias("ld"))
+            rows = rows.join(gone, keys, "left").where(F.col("ld").isNull() | (place > F.col("ld")))
         mapped = [c for c in self.maps if self.maps[c]]
-        marks = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("event_type").isin(*self.maps[c]), F.col("sequence"))).alias(f"lm_{c}") for c in mapped], F.count("*").alias("n__"))
+        marks = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("event_type").isin(*self.maps[c]), place)).alias(f"lm_{c}") for c in mapped], F.count("*").alias("n__"))
         rows = rows.join(marks, keys)
         aggs = []
         for c in {**self.maps, **self.steps, **self.values}:
@@ -63,19 +63,21 @@ class FlatTable:
                 pick = F.lit(None)
                 for t, v in self.values[c].items():
                     pick = F.when(F.col("event_type") == t, F.lit(v)).otherwise(pick)
-                aggs.append(F.max_by(pick, F.when(F.col("event_type").isin(*self.values[c]), F.col("sequence"))).alias(c))
+                aggs.append(F.max_by(pick, F.when(F.col("event_type").isin(*self.values[c]), place)).alias(c))
                 continue
-            mark = F.coalesce(F.col(f"lm_{c}"), F.lit(-1)) if c in mapped else F.lit(-1)
+            mark = F.col(f"lm_{c}") if c in mapped else F.lit(None)
+            at = F.coalesce(place == mark, F.lit(False)) if c in mapped else F.lit(False)
+            after = mark.isNull() | (place > mark) if c in mapped else F.lit(True)
             gain = F.lit(None)
             for t, v in self.steps.get(c, {}).items():
-                gain = F.when((F.col("sequence") > mark) & (F.col("event_type") == t), v).otherwise(gain)
+                gain = F.when(after & (F.col("event_type") == t), v).otherwise(gain)
             if c in mapped and c not in self.steps:
                 pick = F.lit(None)
                 for t, v in self.maps[c].items():
-                    pick = F.when((F.col("sequence") == mark) & (F.col("event_type") == t), v).otherwise(pick)
+                    pick = F.when(at & (F.col("event_type") == t), v).otherwise(pick)
                 aggs.append(F.max(pick).alias(c))
                 continue
             for t, v in self.maps.get(c, {}).items():
-                gain = F.when((F.col("sequence") == mark) & (F.col("event_type") == t), v).otherwise(gain)
+                gain = F.when(at & (F.col("event_type") == t), v).otherwise(gain)
             aggs.append(F.coalesce(F.sum(gain), F.lit(0)).alias(c))
         return rows.groupBy(*keys).agg(*aggs)

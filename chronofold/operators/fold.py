@@ -18,6 +18,7 @@ the fold starts from a default. Deletes act in their place, however pages are cu
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,17 +27,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..schema import COMPACTED
+
 KEYS = ["slice_tenant", "slice_id"]
 
 
 @dataclass
 class Measure:
-    """``kind``: sum, count, last, min, max or collect; over ``types`` (none: all) after the create, or from it on."""
+    """``kind``: sum, count, last, min, max or collect; over ``types`` (none: all) after the create, or from it on.
+
+    ``seed``: the value of a sum or count that a compaction event carries; the fold goes on from it.
+    """
 
     kind: str
     value: Column | None = None
     types: tuple[str, ...] = ()
     at_create: bool = False
+    seed: Column | None = None
 
 
 @dataclass
@@ -47,16 +54,19 @@ class ClosedForm:
     relevant: tuple[str, ...] = ()
 
     def live(self, slices: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-        """Events of living states, from their create on, with ``created`` (its sequence, or null without creates)."""
+        """Events of living states, from their create on, with ``created`` (its place, or null without creates)."""
         if self.relevant:
-            slices = slices.where(F.col("event_type").isin(*{*self.relevant, *self.create, *self.delete}))
+            slices = slices.where(F.col("event_type").isin(*{*self.relevant, *self.create, *self.delete, COMPACTED}))
+        place = F.struct("sequence", "ordinal")
+        if any(m.seed is not None for m in self.measures.values()):
+            slices = compacted_forward(slices, keys)
         if self.delete:
-            gone = slices.where(F.col("event_type").isin(*self.delete)).groupBy(*keys).agg(F.max("sequence").alias("gone__"))
-            slices = slices.join(gone, keys, "left").where(F.col("sequence") > F.coalesce("gone__", F.lit(-1))).drop("gone__")
+            gone = slices.where(F.col("event_type").isin(*self.delete)).groupBy(*keys).agg(F.max(place).alias("gone__"))
+            slices = slices.join(gone, keys, "left").where(F.col("gone__").isNull() | (place > F.col("gone__"))).drop("gone__")
         if self.create:
-            born = slices.where(F.col("event_type").isin(*self.create)).groupBy(*keys).agg(F.min("sequence").alias("created"))
-            return slices.join(born, keys).where(F.col("sequence") >= F.col("created"))
-        return slices.withColumn("created", F.lit(None).cast("long"))
+            born = slices.where(F.col("event_type").isin(*self.create, COMPACTED)).groupBy(*keys).agg(F.min(place).alias("created"))
+            return slices.join(born, keys).where(place >= F.col("created"))
+        return slices.withColumn("created", F.lit(None).cast("struct<sequence:bigint,ordinal:int>"))
 
     def run(self, slices: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         """One row for each identity with a state: keys, last_sequence and the measures."""
@@ -66,7 +76,11 @@ class ClosedForm:
     def _agg(self, m: Measure) -> Column:
         here = F.col("event_type").isin(*m.types) if m.types else F.lit(True)
         if self.create and not m.at_create:
-            here &= F.col("sequence") > F.col("created")
+            here &= F.struct("sequence", "ordinal") > F.col("created")
+        here &= F.col("event_type") != COMPACTED
+        if m.seed is not None:
+            own = ClosedForm._agg(self, Measure(m.kind, m.value, m.types, m.at_create))
+            return own + F.coalesce(F.sum(F.when(F.col("event_type") == COMPACTED, m.seed)), F.lit(0))
         order = F.struct("sequence", "ordinal")
         return {
             "sum": lambda: F.coalesce(F.sum(F.when(here, m.value)), F.lit(0)),
@@ -83,7 +97,7 @@ def resumed(snapshot: DataFrame, fold: ClosedForm, new: DataFrame, keys: list[st
 
     Measures must be sums or counts. Snapshots whose identity has no new event stay as they are.
     """
-    gone = new.where(F.col("event_type").isin(*fold.delete)).groupBy(*keys).agg(F.max("sequence").alias("gone__")) if fold.delete else None
+    gone = new.where(F.col("event_type").isin(*fold.delete)).select(*keys).distinct() if fold.delete else None
     kept = snapshot if gone is None else snapshot.join(gone, keys, "left_anti")
     known = kept.select(*keys, F.lit(True).alias("known__"))
     marked = new.join(known, keys, "left")
@@ -144,6 +158,8 @@ class Handlers:
 
     def step(self, state, event: dict):
         kind = event["event_type"]
+        if kind == COMPACTED and self.find(self.create, kind) is None:
+            return json.loads(event["data"])  # stands for all events up to it
         if self.evolve:
             return self.evolve(state, event)
         if kind in self.delete:
@@ -171,8 +187,6 @@ def python_fold(slices: DataFrame, handlers: Handlers, state_ddl: str, mode: str
     ``state_ddl`` columns prefixed ``known_``) and the state's columns, null when deleted; ``timeline``: a row for each event
     with the state before and after as JSON, and the error; ``errors``: the dead letters only.
     """
-    import json
-
     state = StructType.fromDDL(state_ddl)
     names = [f.name for f in state.fields]
     key_ddl = ", ".join(f"{k} {slices.schema[k].dataType.simpleString()}" for k in keys)
@@ -223,7 +237,7 @@ def python_fold(slices: DataFrame, handlers: Handlers, state_ddl: str, mode: str
     return slices.repartition(*keys).sortWithinPartitions(*keys, "sequence", "ordinal").mapInPandas(run, ddl)
 
 
-def compacted_forward(events: DataFrame, keys: list[str], compacted: str = "compacted") -> DataFrame:
+def compacted_forward(events: DataFrame, keys: list[str], compacted: str = COMPACTED) -> DataFrame:
     """Drops what precedes an identity's newest compaction event; that event stands for it."""
     newest = events.where(F.col("event_type") == compacted).groupBy(*keys).agg(F.max("sequence").alias("from__"))
     return events.join(newest, keys, "left").where(F.col("sequence") >= F.coalesce("from__", F.lit(-1))).drop("from__")

@@ -75,9 +75,9 @@ class Slicer:
         if self.rules and self.tenancy == "rollup":
             raise ValueError("a tenant rollup takes no identity rules")
 
-    def slice(self, events: DataFrame, key: str = "sequence") -> DataFrame:
+    def slice(self, events: DataFrame, key: str = "id") -> DataFrame:
         self.validate()
-        events = events.dropDuplicates(["event_type", key]) if "id" in events.columns else events
+        events = events.dropDuplicates(["event_type", key]) if key in events.columns else events
         events = events.withColumn("ordinal", F.lit(-1))
         for fan in self.fans:
             if fan.before_grouping:

@@ -318,28 +318,28 @@ def ungrouped_slice(spark, d):
 # ---- joins ----------------------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey, c_name, c_mktsegment from orders join customer on o_custkey = c_custkey where o_totalprice > 100000")
+@query("select o_orderkey, c_name, c_mktsegment from orders join customer on o_custkey = c_custkey")
 def enrich_entity(spark, d):
-    orders = table(spark, d, "orders").where("o_totalprice > 100000").withColumn("event_type", F.lit("order"))
+    orders = table(spark, d, "orders").withColumn("event_type", F.lit("order"))
     out = enrich.enrich(orders, table(spark, d, "customer"), F.col("o_custkey"), "c_custkey", {"c_name": "c_name", "c_mktsegment": "c_mktsegment"}, ("order",))
     return out.where("c_name is not null").select("o_orderkey", "c_name", "c_mktsegment")
 
 
-@query(f"with {EV}, i as (select distinct sequence, unnest([stream_id, k]) as id from e where event_type = 'signup') select sequence, string_agg(c_name, ',' order by c_custkey) as names from i join customer on id = c_custkey group by sequence")
+@query(f"with {EV}, i as (select distinct sequence, unnest([stream_id, k]) as id from e) select sequence, string_agg(c_name, ',' order by c_custkey) as names from i join customer on id = c_custkey group by sequence")
 def enrich_many(spark, d):
-    log = adapted(spark, d).where("event_type = 'signup'").select("sequence", "stream_id", "k")
+    log = adapted(spark, d).select("sequence", "stream_id", "k")
     out = enrich.enrich_many(log, table(spark, d, "customer").select("c_custkey", "c_name"), F.array("stream_id", "k"), "c_custkey", "found")
     return out.where("found is not null").select("sequence", F.array_join(F.transform("found", lambda x: x["c_name"]), ",").alias("names"))
 
 
-@query(f"with {EV} select sequence, c_name from e left join customer on stream_id = c_custkey and event_type in ('click', 'purchase') where k = 9")
+@query(f"with {EV} select sequence, c_name from e left join customer on stream_id = c_custkey and event_type in ('click', 'purchase')")
 def enrich_by_type(spark, d):
-    return enrich.enrich(adapted(spark, d).where("k = 9"), table(spark, d, "customer"), F.col("stream_id"), "c_custkey", {"c_name": "c_name"}, ("click", "purchase")).select("sequence", "c_name")
+    return enrich.enrich(adapted(spark, d), table(spark, d, "customer"), F.col("stream_id"), "c_custkey", {"c_name": "c_name"}, ("click", "purchase")).select("sequence", "c_name")
 
 
-@query(f"with {EV} select sequence, c_acctbal as balance from e join customer on stream_id = c_custkey where event_type = 'signup'")
+@query(f"with {EV} select sequence, c_acctbal as balance from e join customer on stream_id = c_custkey")
 def add_references(spark, d):
-    out = enrich.add_references(slices(spark, d).where("event_type = 'signup'"), table(spark, d, "customer"), F.col("stream_id"), "c_custkey", "customer")
+    out = enrich.add_references(slices(spark, d), table(spark, d, "customer"), F.col("stream_id"), "c_custkey", "customer")
     return out.where("customer is not null").select("sequence", F.col("customer.c_acctbal").alias("balance"))
 
 
@@ -433,18 +433,19 @@ def composite_two_stage(spark, d):
     return out.select("slice_id", "accounts", money("total"))
 
 
-@query("with g as (select event_id from events where event_id % 97 <> 0), l as (select event_id, lead(event_id) over (order by event_id) as nxt from g) select event_id as gap_after, nxt as resumes_at from l where nxt > event_id + 1")
+@query("with g as (select distinct l_orderkey as s from lineitem), l as (select s, lead(s) over (order by s) as nxt from g) select s as gap_after, nxt as resumes_at from l where nxt > s + 1")
 def sequence_gaps(spark, d):
+    """Over the order keys of all lines, which have gaps of their own."""
     from .streaming.highwater import gaps
 
-    return gaps(adapted(spark, d).where("sequence % 97 <> 0"))
+    return gaps(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sequence")))
 
 
-@query("with g as (select event_id from events where event_id % 97 <> 96), l as (select event_id, lead(event_id) over (order by event_id) as nxt from g) select coalesce(min(event_id) filter (where nxt > event_id + 1), max(event_id)) as mark, max(event_id) as highest from l")
+@query("with l as (select event_id, lead(event_id) over (order by event_id) as nxt from events) select coalesce(min(event_id) filter (where nxt > event_id + 1), max(event_id)) as mark, max(event_id) as highest from l")
 def high_water(spark, d):
     from .streaming.highwater import high_water_mark
 
-    return high_water_mark(adapted(spark, d).where("sequence % 97 <> 96"))
+    return high_water_mark(adapted(spark, d))
 
 
 @query("with m as (select 't' || cast(user_id % 3 as varchar) as tenant_id, max(event_id) as mark from events group by 1), p as (select 't0' as tenant_id, 100 as sequence union all select 't1', 10000000) select m.tenant_id, p.tenant_id is not null as has_row, cast(greatest(0, mark - coalesce(sequence, 0)) as bigint) as lag, p.tenant_id is not null and mark <= sequence as caught_up from m left join p using (tenant_id)")
@@ -466,9 +467,18 @@ def dead_letter_counts(spark, d):
     return lags.dead_letter_counts(fold.python_fold(rows, h, "x int", mode="errors").withColumn("projection", F.lit("totals")).withColumnRenamed("slice_tenant", "tenant_id"))
 
 
-@query("select event_id as event_sequence, value from events where event_type = 'error' order by event_id desc limit 10 offset 5")
+@query("select event_id as event_sequence, 'ValueError' as exception_type from events where event_type = 'purchase' and value > 90 order by event_id desc limit 10 offset 5")
 def dead_letter_page(spark, d):
-    return lags.dead_letter_page(adapted(spark, d).where("event_type = 'error'").select(F.col("sequence").alias("event_sequence"), "value"), 5, 10)
+    from .streaming.sinks import dead_letters
+
+    def fail(state, e):
+        if e["value"] > 90:
+            raise ValueError("too large")
+        return state
+
+    rows = slices(spark, d).select("slice_tenant", "slice_id", "sequence", "ordinal", "event_type", "value")
+    letters = dead_letters(fold.python_fold(rows, fold.Handlers(apply={"purchase": fail}, default=dict), "x int", mode="errors"), "totals", "totals:All")
+    return lags.dead_letter_page(letters, 5, 10).select("event_sequence", "exception_type")
 
 
 @query("select event_id as sequence, case when event_type = 'signup' then '*****' else event_type end as body, case when event_type = 'signup' then 1 else 0 end as n_headers from events")
@@ -565,32 +575,35 @@ def natural_key_index(spark, d):
     return natural_keys(adapted(spark, d), {"signup": F.col("k"), "purchase": F.col("k")})
 
 
-@query("with g as (select event_id, 't' || cast(user_id % 3 as varchar) as tenant_id from events), l as (select *, lead(event_id) over (partition by tenant_id order by event_id) as nxt from g) select tenant_id, coalesce(min(event_id) filter (where nxt > event_id + 1), max(event_id)) as mark, max(event_id) as highest from l group by tenant_id")
+@query("""with l as (select event_id, lead(event_id) over (order by event_id) as nxt from events), m as (select coalesce(min(event_id) filter (where nxt > event_id + 1), max(event_id)) as mark from l)
+select 't' || cast(user_id % 3 as varchar) as tenant_id, coalesce(max(event_id) filter (where event_id <= (select mark from m)), 0) as mark, max(event_id) as highest from events group by 1""")
 def high_water_by_tenant(spark, d):
     from .streaming.highwater import high_water_mark
 
     return high_water_mark(adapted(spark, d), "tenant_id")
 
 
-@query("with g as (select event_id from events where event_id % 97 <> 96), l as (select event_id, lead(event_id) over (order by event_id) as nxt from g) select coalesce(min(event_id) filter (where nxt > event_id + 1 and nxt > 500), max(event_id)) as mark, max(event_id) as highest from l")
+@query("with g as (select distinct l_orderkey as s from lineitem), l as (select s, lead(s) over (order by s) as nxt from g) select coalesce(min(s) filter (where nxt > s + 1 and nxt > 500), max(s)) as mark, max(s) as highest from l")
 def stale_gap_skip(spark, d):
+    """Order keys of all lines as a sequence; gaps that resume up to 500 are stale."""
     from .streaming.highwater import high_water_mark
 
-    return high_water_mark(adapted(spark, d).where("sequence % 97 <> 96"), skip_to=500)
+    return high_water_mark(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sequence")), skip_to=500)
 
 
-@query(f"with {EV} select stream_id, event_type from e where sequence > 500 and stream_id not in (select stream_id from e where sequence <= 500)")
+@query(f"with {EV}, h as (select max(sequence) // 2 as half from e) select stream_id, event_type from e where sequence > (select half from h) and stream_id not in (select stream_id from e where sequence <= (select half from h))")
 def streams_started(spark, d):
     """Appends after a point whose stream did not exist before it: the check of a stream's start, as an anti-join."""
     log = adapted(spark, d)
-    return log.where("sequence > 500").join(log.where("sequence <= 500").select("stream_id").distinct(), "stream_id", "left_anti").select("stream_id", "event_type")
+    half = log.agg(F.expr("max(sequence) div 2")).first()[0]
+    return log.where(F.col("sequence") > half).join(log.where(F.col("sequence") <= half).select("stream_id").distinct(), "stream_id", "left_anti").select("stream_id", "event_type")
 
 
-@query(f"with {EV} select sequence, stream_id = 7 as is_archived from e where sequence <= 400")
+@query(f"with {EV} select sequence, stream_id = 7 as is_archived from e")
 def archive_stream(spark, d):
     from .sources.rewrites import archive
 
-    log = adapted(spark, d).where("sequence <= 400").withColumn("is_archived", F.lit(None).cast("boolean"))
+    log = adapted(spark, d).withColumn("is_archived", F.lit(None).cast("boolean"))
     return archive(log, F.col("stream_id") == 7).select("sequence", "is_archived")
 
 
@@ -607,20 +620,153 @@ def replace_event(spark, d):
     return replace(log, 77, "replaced", "new").select("sequence", "event_type", "data")
 
 
-@query(f"with {EV} select sequence, coalesce('over ' || c_name, cast(k as varchar)) as data from e left join customer on c_custkey = sequence and c_custkey < 50")
+@query(f"with {EV} select sequence, coalesce('over ' || c_name, cast(k as varchar)) as data from e left join customer on c_custkey = sequence")
 def overwrite_events(spark, d):
     from .sources.rewrites import overwrite
 
     none = F.create_map().cast("map<string,string>")
     log = adapted(spark, d).select("sequence", F.col("k").cast("string").alias("data"), none.alias("headers"))
-    new = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("sequence"), F.concat(F.lit("over "), "c_name").alias("data"), none.alias("headers"))
+    new = table(spark, d, "customer").select(F.col("c_custkey").alias("sequence"), F.concat(F.lit("over "), "c_name").alias("data"), none.alias("headers"))
     return overwrite(log, new, "sequence").select("sequence", "data")
 
 
-@query(f"with {EV}, g as (select * from e where sequence <> 10), {SIGNUP_SQL.format(key='stream_id', src='g')} select cast(stream_id as varchar) as stream_id, total, purchases from f")
+def _failing_handlers():
+    """Purchases over 90 fail."""
+
+    def buy(s, e):
+        if e["value"] > 90:
+            raise ValueError("too large")
+        return {"total": s["total"] + e["value"], "purchases": s["purchases"] + 1}
+
+    return fold.Handlers(create={"signup": lambda e: {"total": 0.0, "purchases": 0}}, apply={"purchase": buy}, delete=("error",))
+
+
+def _failing(name):
+    from .plans.projections import HandlerStream
+
+    return HandlerStream(name, _failing_handlers(), "total double, purchases long")
+
+
+@query(f"with {EV}, g as (select * from e where not (event_type = 'purchase' and value > 90)), {SIGNUP_SQL.format(key='stream_id', src='g')} select cast(stream_id as varchar) as stream_id, total, purchases from f")
 def skip_and_reslice(spark, d):
-    """A failing event is left out and its range folded again."""
-    return signup_fold().run(slices(spark, d).where("sequence <> 10")).select(F.col("slice_id").alias("stream_id"), money("total"), "purchases")
+    """Failing events are left out and the slices folded without them."""
+    return _failing("skipping").run(adapted(spark, d)).select(F.col("slice_id").alias("stream_id"), money("total"), "purchases")
+
+
+def _daemon(spark, d):
+    import uuid
+
+    from .checkpoint import shared_folder
+    from .streaming.daemon import Daemon
+
+    return Daemon(spark, lambda: adapted(spark, d), f"{shared_folder(spark)}/daemon-{uuid.uuid4().hex}")
+
+
+@query(f"with {EV}, {ONE} select cast(stream_id as varchar) as stream_id, last_sequence, total, purchases from f")
+def daemon_catch_up(spark, d):
+    """The read model after pages up to the mark equals the fold of the whole log."""
+    from .plans.projections import SingleStream
+
+    daemon, p = _daemon(spark, d), SingleStream("totals", signup_fold())
+    top = adapted(spark, d).agg(F.max("sequence")).first()[0] or 0
+    daemon.catch_up(p, page=top // 3 + 1)
+    return daemon.table(p).read().select(F.col("slice_id").alias("stream_id"), "last_sequence", money("total"), "purchases")
+
+
+ALIVE = "s as (select *, coalesce(max(case when event_type = 'error' then sequence end) over (partition by stream_id order by sequence rows between unbounded preceding and 1 preceding), -1) as le, max(case when event_type = 'signup' then sequence end) over (partition by stream_id order by sequence rows between unbounded preceding and 1 preceding) as ls from e)"
+
+
+@query(f"with {EV}, {ALIVE} select 'failing' as projection, tenant_id, sequence as event_sequence, 'ValueError' as exception_type, 'too large' as exception_message from s where event_type = 'purchase' and value > 90 and ls > le")
+def daemon_dead_letters(spark, d):
+    """What a caught-up shard has skipped, in pages, each event once."""
+    daemon, p = _daemon(spark, d), _failing("failing")
+    top = adapted(spark, d).agg(F.max("sequence")).first()[0] or 0
+    daemon.catch_up(p, page=top // 2 + 1)
+    return daemon.dead_letters(p).select("projection", "tenant_id", "event_sequence", "exception_type", "exception_message")
+
+
+@query(f"with {EV}, {ONE}, g as (select stream_id % 3 as tenant, total from f) select 't' || cast(tenant as varchar) as slice_id, cast(count(*) as bigint) as accounts, round(sum(total), 4) as total from g group by tenant")
+def daemon_composite(spark, d):
+    """A composite's members through the daemon, in one pass over its stages."""
+    from .plans.projections import Composite, MultiStream, SingleStream
+
+    stage2 = MultiStream("tenants", slicing.Slicer("rollup"), ClosedForm(measures={"accounts": Measure("count", None, ("updated",)), "total": Measure("sum", F.col("state.total"), ("updated",))}), types=("updated",))
+    daemon, p = _daemon(spark, d), Composite("totals").stage(SingleStream("accounts", signup_fold())).stage(stage2)
+    daemon.catch_up(p)
+    return daemon.table(p, "tenants").read().select("slice_id", "accounts", money("total"))
+
+
+@query(f"with {EV}, {ONE} select cast(d.stream_id as varchar) as stream_id, cast(count(*) as bigint) as deletes from (select distinct stream_id from e) d left join f using (stream_id) where f.stream_id is null group by 1")
+def derived_deletes(spark, d):
+    """Streams whose state is gone, counted by a later stage from the events that the earlier one derives."""
+    from .plans.projections import Composite, SingleStream
+
+    gone = SingleStream("gone", ClosedForm(measures={"deletes": Measure("count", None, ("projection_deleted",))}), types=("projection_deleted",))
+    out = Composite("both").stage(SingleStream("accounts", signup_fold())).stage(gone).run(adapted(spark, d))["gone"]
+    return out.select(F.col("slice_id").alias("stream_id"), "deletes")
+
+
+@query(f"with {EV}, {ONE} select e.sequence, f.total from e left join f using (stream_id) where event_type = 'click'")
+def upstream_lookup(spark, d):
+    """Clicks with the total that an earlier stage holds for their stream."""
+    from .plans.projections import upstream
+
+    view = signup_fold().run(slices(spark, d)).withColumn("total", F.round("total", 4))
+    return upstream(slices(spark, d).where("event_type = 'click'"), view, F.col("slice_id"), {"up_total": "total"}).select("sequence", F.col("up_total").alias("total"))
+
+
+@query(f"with {EV} select max(sequence) as last_sequence, round(sum(value) filter (where event_type = 'purchase'), 4) as total, cast(count(*) as bigint) as n from e where k = 3 or (k = 5 and event_type = 'click')")
+def boundary_aggregate(spark, d):
+    from .plans.projections import BoundaryAggregate
+
+    q = tags.TagQuery().or_tag("k", 3).for_tag("k", 5).and_events("click")
+    p = BoundaryAggregate("boundary", q, ClosedForm(measures={"total": Measure("sum", F.col("value"), ("purchase",)), "n": Measure("count")}))
+    return p.run(adapted(spark, d)).select("last_sequence", money("total"), "n")
+
+
+@query(f"with {EV} select stream_id, array_to_string(list_sort(list_intersect(list(distinct event_type), ['signup', 'error', 'click'])), ',') as types from e group by stream_id")
+def shared_event_types(spark, d):
+    found = adapted(spark, d).groupBy("stream_id").agg(F.collect_set("event_type").alias("types"))  # the few types
+    return found.select("stream_id", F.array_join(scalars.shared_types(F.col("types"), ["signup", "error", "click"]), ",").alias("types"))
+
+
+@query(f"""with {EV}, h as (select max(sequence) // 2 as half from e),
+a as (select stream_id, round(sum(value), 4) as total, bool_or(event_type = 'error') as dead from e where sequence <= (select half from h) group by 1),
+b as (select stream_id, round(sum(value), 4) as total, cast(count(*) as bigint) as n from e where event_type <> 'error' group by 1),
+c as (select b.stream_id, b.total, case when b.n > 60 then 'StoreThenSoftDelete' when a.dead then 'UnDeleteAndStore' when a.total = b.total then 'Nothing' else 'Store' end as action from b left join a using (stream_id))
+select cast(stream_id as varchar) as slice_id, action from c union all select cast(stream_id as varchar), 'HardDelete' from a where not dead and stream_id not in (select stream_id from b)""")
+def action_types(spark, d):
+    """What a sink does on the way from half a log's totals to those of the whole one without errors."""
+    from .plans.projections import actions
+
+    every = slices(spark, d)
+    half = every.agg(F.expr("max(sequence) div 2")).first()[0]
+    total = F.round(F.sum("value"), 4).alias("total")
+    before = every.where(F.col("sequence") <= half).groupBy("slice_id").agg(total, F.bool_or(F.col("event_type") == "error").alias("is_deleted"))
+    after = every.where("event_type <> 'error'").groupBy("slice_id").agg(total, F.count("*").alias("n"))
+    acts = actions(before, after.drop("n"), ["slice_id"], hard=True)
+    ending = actions(before, after.join(before.select("slice_id"), "slice_id", "left").select("slice_id", "total", "n"), ["slice_id"], ending=F.col("n") > 60, hard=True).where("action = 'StoreThenSoftDelete'").select("slice_id", F.col("action").alias("ends"))
+    return acts.join(ending, "slice_id", "left").select("slice_id", F.coalesce("ends", "action").alias("action"))
+
+
+@query(f"with {EV}, n as (select *, row_number() over (partition by stream_id order by sequence) as version from e) select cast(stream_id as varchar) as stream_id, round(sum(value), 4) as total, cast(count(*) as bigint) as n from n group by stream_id")
+def fold_over_compacted(spark, d):
+    """A log whose streams are compacted up to version 10 folds to the state of the whole log."""
+    from .sources.rewrites import compact
+
+    state = lambda rows: rows.groupBy("tenant_id", "stream_id").agg(F.sum("value").alias("c_total"), F.count("*").alias("c_n"))
+    log = compact(reads.numbered(adapted(spark, d)), 10, state)
+    f = ClosedForm(measures={"total": Measure("sum", F.col("value"), seed=F.col("c_total")), "n": Measure("count", seed=F.col("c_n"))})
+    return f.run(slicing.by_stream(log)).select(F.col("slice_id").alias("stream_id"), money("total"), "n")
+
+
+@query(f"with {EV}, p as (select stream_id, round(sum(case when event_type = 'purchase' then k % 3 end), 4) as items, cast(count(*) filter (where event_type <> 'signup') as bigint) as n from e group by 1) select cast(stream_id as varchar) as stream_id, cast(coalesce(items, 0) as bigint) as items from p")
+def fan_out_ordinals(spark, d):
+    """A flat table that a parent sets to 0 and each of its children adds 1 to, over all parents: the children count."""
+    kids = F.filter(F.sequence(F.lit(0), F.col("k") % 3), lambda i: i < F.col("k") % 3)
+    s = slicing.Slicer("across").identity(F.col("stream_id").cast("string")).fan_out("purchase", kids, "item").slice(adapted(spark, d).withColumn("stream_id", F.concat(F.lit("s"), "stream_id")))
+    made = ClosedForm(measures={"items": Measure("count", None, ("item",))}).run(s)
+    return made.select(F.expr("substring(slice_id, 2)").alias("stream_id"), "items")
 
 
 @query(f"with {EV}, {ONE} select cast(stream_id as varchar) as slice_id, 'Store' as action from f union all select distinct cast(stream_id as varchar), 'Delete' from e where stream_id not in (select stream_id from f)")
@@ -668,7 +814,7 @@ def predicate_algebra(spark, d):
     return adapted(spark, d).select(F.col("sequence").alias("event_id"), all_of.alias("hit"))
 
 
-@query(f"with {EV} select sequence, row_number() over (partition by stream_id order by sequence) = 1 as first_of_stream, cast(lead(sequence) over (partition by stream_id order by sequence) as bigint) as next_sequence from e where event_type <> 'view'")
+@query(f"with {EV} select sequence, row_number() over (partition by stream_id order by sequence) = 1 as first_of_stream, cast(lead(sequence) over (partition by stream_id order by sequence) as bigint) as next_sequence from e")
 def stream_neighbours(spark, d):
     w = Window.partitionBy("stream_id").orderBy("sequence")
-    return adapted(spark, d).where("event_type <> 'view'").select("sequence", (F.row_number().over(w) == 1).alias("first_of_stream"), F.lead("sequence").over(w).alias("next_sequence"))
+    return adapted(spark, d).select("sequence", (F.row_number().over(w) == 1).alias("first_of_stream"), F.lead("sequence").over(w).alias("next_sequence"))

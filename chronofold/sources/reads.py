@@ -7,6 +7,7 @@ gap fillers are left out unless asked for.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from threading import BoundedSemaphore
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,3 +146,14 @@ def with_retry(load, attempts: int = 3, transient: tuple = (IOError, TimeoutErro
             if not left:
                 raise
     return None
+
+
+class Throttled:
+    """A loader that at most ``limit`` threads call at a time; others wait."""
+
+    def __init__(self, load, limit: int = 4):
+        self.load, self.free = load, BoundedSemaphore(limit)
+
+    def __call__(self, *args, **named):
+        with self.free:
+            return self.load(*args, **named)

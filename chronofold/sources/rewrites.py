@@ -61,7 +61,8 @@ def compact(events: DataFrame, version: int, fold: Callable[[DataFrame], DataFra
     """Streams with their events up to ``version`` (0: all) folded into one compaction event.
 
     It takes the place, version and sequence of the last folded event; later events stay. ``fold``
-    maps the folded events to (keys, columns); those columns are added to the log.
+    maps the folded events to (keys, columns); those columns are added to the log. A stream for which it gives
+    no row keeps its version all the same: its compaction event has nulls there.
     """
     keys = list(keys)
     mine = F.coalesce(stream, F.lit(False)) if stream is not None else F.lit(True)
@@ -70,7 +71,7 @@ def compact(events: DataFrame, version: int, fold: Callable[[DataFrame], DataFra
     last = prefix.groupBy(*keys).agg(F.max("version").alias("last__"))
     state = fold(prefix)
     added = [c for c in state.columns if c not in keys]
-    ends = prefix.join(last, keys).where("version = last__").drop("last__").join(state, keys).withColumn("event_type", F.lit(COMPACTED))
+    ends = prefix.join(last, keys).where("version = last__").drop("last__").join(state, keys, "left").withColumn("event_type", F.lit(COMPACTED))
     rest = events.where(~within).withColumns({c: F.lit(None).cast(state.schema[c].dataType) for c in added})
     return rest.unionByName(ends.select(*rest.columns))
 

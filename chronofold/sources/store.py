@@ -9,6 +9,7 @@ the root may be any store Spark reads; creation must be atomic there, as it is o
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..checkpoint import checkpointed
+from ..operators.fold import KEYS
+from ..plans.projections import Projection, SingleStream
 from ..functions.scalars import comb_guid
 from ..operators import tags as tagging
-from ..schema import DEFAULT_TENANT, EVENT_DDL, TOMBSTONE, TOMBSTONE_STREAM, EventTypeRegistry
+from ..schema import ARCHIVED, COMPACTED, DEFAULT_TENANT, EVENT_DDL, TOMBSTONE, TOMBSTONE_STREAM, EventTypeRegistry
 from . import reads, rewrites
 
 
@@ -73,6 +76,7 @@ class EventStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16, registry: EventTypeRegistry | None = None):
         self.spark, self.root, self.buckets, self.registry = spark, root.rstrip("/"), buckets, registry or EventTypeRegistry()
         self.schema = StructType.fromDDL(EVENT_DDL)
+        self.inline: dict[str, Projection] = {}
 
     # ---- manifests ----
 
@@ -90,8 +94,9 @@ class EventStore:
         lines = self.spark.read.text(f"{self.root}/_log/{max(numbers):012d}.json", wholetext=True).first()[0]
         return json.loads(lines)
 
-    def _commit(self, base: dict, folders: dict, highest: int) -> None:
-        made = {"n": base["n"] + 1, "folders": folders, "highest": highest}
+    def _commit(self, base: dict, folders: dict, highest: int, **more: dict) -> None:
+        """``more``: entries of ``views`` and ``once`` that change with this commit."""
+        made = {"n": base["n"] + 1, "folders": folders, "highest": highest} | {k: {**base.get(k, {}), **more.get(k, {})} for k in ("views", "once")}
         fs, p = self._fs(f"{self.root}/_log/{made['n']:012d}.json")
         try:
             stream = fs.create(p, False)
@@ -107,6 +112,11 @@ class EventStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("tenant_id", "stream_id"), F.lit(self.buckets)).cast("int")
 
+    def bucket_of(self, tenant: str, stream_id: str) -> int:
+        """A stream's bucket, computed without reading any event."""
+        one = self.spark.createDataFrame([(tenant, stream_id)], "tenant_id string, stream_id string")
+        return one.select(self._bucket()).first()[0]
+
     def _write(self, events: DataFrame) -> dict[str, str]:
         """New folders by bucket, written in one job."""
         name = uuid.uuid4().hex
@@ -124,12 +134,18 @@ class EventStore:
 
     # ---- appends ----
 
-    def append(self, *actions: Action, mode: str = "rich", check: Callable[[dict], None] | None = None, correlation: dict | None = None) -> DataFrame:
+    def append(self, *actions: Action, mode: str = "rich", check: Callable[[dict], None] | None = None, correlation: dict | None = None, lock: str | None = None) -> DataFrame:
         """Commits the actions together; versions and sequences follow what is stored. Returns the new events.
 
-        mode ``rich`` assigns times here, ``quick`` and ``quick_server`` leave missing times to the commit.
+        mode ``rich``: times come from here where an event has none, and the rows returned are complete; ``quick``: the same times, but
+        versions and sequences are left to the commit and not returned; ``quick_server``: all times are the commit's, whatever events say.
+        Registered inline projections change in the same commit.
         """
+        if mode not in ("rich", "quick", "quick_server"):
+            raise ValueError(f"unknown append mode {mode}")
         base = self.manifest()
+        for a in actions:
+            self._check_lock(a.tenant_id, a.stream_id, lock)
         for a in actions:
             if a.start and not a.events:
                 raise EmptyStreamError(a.stream_id)
@@ -145,7 +161,7 @@ class EventStore:
                 raise UnexpectedVersionError(f"{a.stream_id} is at {at}, not {a.expected}")
             for e in a.events:
                 at, sequence = at + 1, sequence + 1
-                when = e.timestamp or now
+                when = now if mode == "quick_server" else e.timestamp or now
                 headers = {k: str(v) for k, v in {**(e.headers or {}), **(correlation or {}).get("headers", {})}.items()}
                 known = lambda own, key: own if own is not None else (correlation or {}).get(key)
                 rows.append((
@@ -157,16 +173,93 @@ class EventStore:
         inferred = self.registry.inferred_tags(F.col("event_type"), F.col("data"))
         df = df.withColumn("tags", F.array_distinct(F.concat("tags", inferred)))
         if rows:
-            self._add(base, df, sequence)
-        return df
+            self._add(base, df, sequence, views=self._inline(base, df))
+            for tenant, stream in {(a.tenant_id, a.stream_id) for a in actions if any(e.event_type == ARCHIVED for e in a.events)}:
+                if any(isinstance(p, SingleStream) for p in self.inline.values()):  # a projection that owns the stream archives it
+                    self.archive_stream(stream, tenant)
+        return df if mode == "rich" else df.drop("version", "sequence")
+
+    # ---- inline projections ----
+
+    def register_inline(self, projection: Projection) -> None:
+        """From now on appends bring the projection's read model up to date in their own commit."""
+        if projection.name in self.inline:
+            raise ValueError(f"projection {projection.name} is inline already")
+        self.inline[projection.name] = projection
+
+    def view(self, name: str) -> DataFrame | None:
+        """The read model of an inline projection as of the last commit."""
+        folder = self.manifest().get("views", {}).get(name)
+        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
 
-    def append_frame(self, events: DataFrame) -> None:
+    def _inline(self, base: dict, new: DataFrame) -> dict[str, str]:
+        """Folders of the read models after the new events; only the slices that these touch are folded, from their first event on.
+
+        A single-stream projection reads the buckets of the streams concerned, others the whole log.
+        """
+        out = {}
+        for name, p in self.inline.items():
+            touched = p.sliced(p.filtered(new)).select(*KEYS).distinct()
+            mine = {str(r["b"]) for r in new.select(self._bucket().alias("b")).distinct().collect()} if isinstance(p, SingleStream) else None
+            every = self.events(base, mine).unionByName(new)
+            rows = p.folded(p.enriched(every).join(touched, KEYS, "left_semi"))
+            if old := base.get("views", {}).get(name):
+                before = self.spark.read.parquet(f"{self.root}/{old}")
+                rows = before.join(touched, KEYS, "left_anti").select(*before.columns).unionByName(rows.select(*before.columns))
+            out[name] = f"views/{name}/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.root}/{out[name]}")
+        return out
+
+    # ---- exclusive writers ----
+
+    def _lock_path(self, tenant: str, stream_id: str) -> str:
+        return f"{self.root}/_locks/{hashlib.sha256(f'{tenant}|{stream_id}'.encode()).hexdigest()}"
+
+    def _check_lock(self, tenant: str, stream_id: str, lock: str | None) -> None:
+        fs, p = self._fs(self._lock_path(tenant, stream_id))
+        if fs.exists(p) and self.spark.read.text(str(p.toString()), wholetext=True).first()[0] != lock:
+            raise ConcurrencyError(f"{stream_id} is held by another writer")
+
+    def append_exclusive(self, stream_id: str, *events: Event, tenant: str = DEFAULT_TENANT, fold: Callable[[DataFrame], DataFrame] | None = None) -> WriteHandle:
+        """A write handle that holds the stream until it is saved or released: meanwhile other appends to it fail."""
+        token, (fs, p) = uuid.uuid4().hex, self._fs(self._lock_path(tenant, stream_id))
+        try:
+            stream = fs.create(p, False)
+        except Exception as e:
+            if "exists" in str(e).lower():
+                raise ConcurrencyError(f"{stream_id} is held by another writer") from e
+            raise
+        try:
+            stream.write(bytearray(token.encode()))
+        finally:
+            stream.close()
+        handle = self.fetch_for_writing(stream_id, fold, tenant)
+        handle.lock = token
+        handle.append(*events)
+        return handle
+
+    def append_optimistic(self, stream_id: str, *events: Event, tenant: str = DEFAULT_TENANT) -> WriteHandle:
+        """A write handle at the stream's version of now; saving fails if another writer came first."""
+        handle = self.fetch_for_writing(stream_id, tenant=tenant)
+        handle.append(*events)
+        return handle
+
+    def release(self, handle: WriteHandle) -> None:
+        if handle.lock:
+            fs, p = self._fs(self._lock_path(handle.tenant, handle.stream_id))
+            fs.delete(p, False)
+            handle.lock = None
+
+    def append_frame(self, events: DataFrame, once: tuple[str, int] | None = None) -> None:
         """Bulk append of a DataFrame (stream_id, event_type, data, timestamp; optionally the rest), ordered by ``timestamp`` and ``id``.
 
         Versions are numbered per stream on top of what is stored; sequences by ranges of time, whose
-        counts are known before rows are numbered, so no task orders the whole input.
+        counts are known before rows are numbered, so no task orders the whole input. ``once``: a writer's name and the growing number of
+        its batch, stored with the commit; a batch at or below the stored number is left out.
         """
         base = self.manifest()
+        if once and base.get("once", {}).get(once[0], -1) >= once[1]:
+            return
         rows = events
         for f in self.schema.fields:
             if f.name not in rows.columns:
@@ -185,11 +278,11 @@ class EventStore:
         stored = self.events(base).groupBy("tenant_id", "stream_id").agg(F.max("version").alias("at__"))
         rows = rows.withColumn("sequence", (start + inside).cast("long")).drop("part__").join(stored, ["tenant_id", "stream_id"], "left")
         version = F.row_number().over(Window.partitionBy("tenant_id", "stream_id").orderBy("sequence")) + F.coalesce("at__", F.lit(0))
-        self._add(base, rows.withColumn("version", version.cast("long")).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]), offset)
+        self._add(base, rows.withColumn("version", version.cast("long")).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]), offset, once=dict([once]) if once else {})
 
-    def _add(self, base: dict, df: DataFrame, highest: int) -> None:
+    def _add(self, base: dict, df: DataFrame, highest: int, **more: dict) -> None:
         new = self._write(df)
-        self._commit(base, {b: [*base["folders"].get(b, []), *([new[b]] if b in new else [])] for b in {*base["folders"], *new}}, highest)
+        self._commit(base, {b: [*base["folders"].get(b, []), *([new[b]] if b in new else [])] for b in {*base["folders"], *new}}, highest, **more)
 
     def versions(self, streams: list[tuple[str, str]], base: dict | None = None) -> dict[tuple[str, str], int]:
         """Current versions of the streams named; only their buckets are read."""
@@ -208,7 +301,8 @@ class EventStore:
         at = self.versions([(tenant, stream_id)], base).get((tenant, stream_id), 0)
         if expected is not None and at != expected:
             raise UnexpectedVersionError(f"{stream_id} is at {at}, not {expected}")
-        state = fold(self.events(base).where((F.col("stream_id") == stream_id) & (F.col("tenant_id") == tenant))) if fold and at else None
+        mine = {str(self.bucket_of(tenant, stream_id))}
+        state = fold(self.events(base, mine, archived=False).where((F.col("stream_id") == stream_id) & (F.col("tenant_id") == tenant))) if fold and at else None
         return WriteHandle(self, stream_id, tenant, at, state, always_check)
 
     def write_to_aggregate(self, stream_id: str, fold, decide: Callable[[WriteHandle], None], **rest) -> DataFrame:
@@ -224,9 +318,11 @@ class EventStore:
 
     # ---- rewrites ----
 
-    def _rewrite(self, affected: Column, change: Callable[[DataFrame], DataFrame]) -> None:
+    def _rewrite(self, affected: Column, change: Callable[[DataFrame], DataFrame], stream: tuple[str, str] | None = None) -> None:
+        """Replaces the buckets that hold affected events; of a rewrite of one ``stream`` (tenant, id) only its bucket is looked at."""
         base = self.manifest()
-        hit = self.events(base).where(affected).select(self._bucket().cast("string").alias("b")).distinct().collect()
+        own = {str(self.bucket_of(*stream))} if stream else None
+        hit = self.events(base, own).where(affected).select(self._bucket().cast("string").alias("b")).distinct().collect()
         mine = {r["b"] for r in hit}
         if not mine:
             return
@@ -235,7 +331,7 @@ class EventStore:
 
     def archive_stream(self, stream_id: str, tenant: str = DEFAULT_TENANT) -> None:
         mine = (F.col("stream_id") == stream_id) & (F.col("tenant_id") == tenant)
-        self._rewrite(mine, lambda e: rewrites.archive(e, mine))
+        self._rewrite(mine, lambda e: rewrites.archive(e, mine), (tenant, stream_id))
 
     def overwrite_event(self, event_id: str, data: dict, headers: dict | None = None) -> None:
         new = self.spark.createDataFrame([(event_id, json.dumps(data), headers or {})], "id string, data string, headers map<string,string>")
@@ -252,22 +348,34 @@ class EventStore:
     def mask(self, masking: rewrites.Masking) -> None:
         self._rewrite(masking.selected(), masking.apply)
 
-    def compact_stream(self, stream_id: str, fold: Callable[[DataFrame], DataFrame], version: int = 0, tenant: str = DEFAULT_TENANT, archiver: Callable[[DataFrame, int], None] | None = None) -> None:
-        """``fold``: events to (tenant_id, stream_id, data) of the compaction event. Versions stay; again changes nothing."""
-        mine = (F.col("stream_id") == stream_id) & (F.col("tenant_id") == tenant)
+    def compact_stream(self, stream_id: str, fold: Callable[[DataFrame], DataFrame], version: int = 0, tenant: str = DEFAULT_TENANT, archiver: Callable[[DataFrame, int], None] | None = None, before: datetime | None = None) -> None:
+        """``fold``: events to (tenant_id, stream_id, data) of the compaction event, whose data is ``null`` if it gives no row.
+
+        Events up to ``version`` (0: all) and, if given, below the time ``before`` are folded. Versions stay; where only a
+        compaction event is left nothing changes and the archiver is not called again.
+        """
+        mine, bucket = (F.col("stream_id") == stream_id) & (F.col("tenant_id") == tenant), {str(self.bucket_of(tenant, stream_id))}
+        if before is not None:
+            upto = self.events(buckets=bucket).where(mine & (F.col("timestamp") < F.lit(before))).agg(F.max("version")).first()[0]
+            if not upto:
+                return
+            version = min(version, upto) if version else upto
         prefix = mine & (F.col("version") <= version) if version else mine
+        gone = self.events(buckets=bucket).where(prefix)
+        if not gone.where(F.col("event_type") != COMPACTED).limit(1).count():
+            return
         if archiver:
-            gone = self.events().where(prefix)
-            archiver(gone, gone.agg(F.max("sequence")).first()[0] or 0)
-        keep = self.schema.names
+            archiver(gone, gone.agg(F.max("sequence")).first()[0])
+        keep, keys = self.schema.names, ["tenant_id", "stream_id"]
+
+        def state(p: DataFrame) -> DataFrame:
+            made = fold(p).select(*keys, F.col("data").alias("made__"))
+            return p.select(*keys).distinct().join(made, keys, "left").select(*keys, F.coalesce("made__", F.lit("null")).alias("data__"))
 
         def change(e: DataFrame) -> DataFrame:
-            state = lambda p: fold(p).select("tenant_id", "stream_id", F.col("data").alias("data__"))
-            done = rewrites.compact(e, version, state, mine)
-            return done.withColumn("data", F.coalesce("data__", "data")).select(*keep)
+            return rewrites.compact(e, version, state, mine).withColumn("data", F.coalesce("data__", "data")).select(*keep)
 
-        if self.events().where(prefix & (F.col("event_type") != "compacted")).limit(1).count():
-            self._rewrite(mine, change)
+        self._rewrite(mine, change, (tenant, stream_id))
 
     def fill_gap(self, sequences: list[int]) -> None:
         """Gap fillers for sequences that will never come; all reads leave them out."""
@@ -288,6 +396,7 @@ class WriteHandle:
     state: DataFrame | None
     always_check: bool = False
     pending: list[Event] = field(default_factory=list)
+    lock: str | None = None
 
     @property
     def current_version(self) -> int:
@@ -298,8 +407,9 @@ class WriteHandle:
 
     def save(self) -> DataFrame | None:
         if self.pending:
-            made = self.store.append(Action(self.stream_id, self.pending, self.tenant, expected=self.starting_version))
+            made = self.store.append(Action(self.stream_id, self.pending, self.tenant, expected=self.starting_version), lock=self.lock)
             self.starting_version, self.pending = self.current_version, []
+            self.store.release(self)
             return made
         if self.always_check and self.store.versions([(self.tenant, self.stream_id)]).get((self.tenant, self.stream_id), 0) != self.starting_version:
             raise UnexpectedVersionError(self.stream_id)
@@ -357,29 +467,61 @@ class Session:
         self.writes.append((kind, key, None))
 
     def save(self) -> None:
-        """Events first, then documents; both are cleared, then listeners hear what was written."""
+        """Events first, then documents; both are cleared, then listeners hear what was inserted, updated and deleted."""
+        kinds = {k for k, _, _ in self.writes}
+        known = {k: set(self.documents.load_many(k, [i for kind, i, _ in self.writes if kind == k])) for k in kinds}
         if self.pending_streams:
             self.store.append(*self.pending_streams.values())
         if self.writes:
             self.documents.apply(self.writes)
         last = {(k, i): b for k, i, b in self.writes}
-        report = {"streams": list(self.pending_streams), "updated": [k for k, b in last.items() if b is not None], "deleted": [k for k, b in last.items() if b is None]}
+        report = {"streams": list(self.pending_streams), "inserted": [k for k, b in last.items() if b is not None and k[1] not in known[k[0]]], "updated": [k for k, b in last.items() if b is not None and k[1] in known[k[0]]], "deleted": [k for k, b in last.items() if b is None]}
         self.pending_streams, self.writes = {}, []
         for listener in self.listeners:
             listener(report)
 
 
 class DocumentStore:
-    """Documents by kind and id as JSON; each save writes a new version of the kinds it touches."""
+    """Documents by kind and id as JSON; each save writes a new version of the kinds it touches.
+
+    A kind's versions are numbered files that name a folder and are created without overwriting: a store that is
+    opened again reads the last one, and of two writers with the same base one fails.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.at: dict[str, str] = {}
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _at(self, kind: str) -> tuple[int, str | None]:
+        """(number, folder) of a kind's last version; 0 and None before the first."""
+        fs, p = self._fs(f"{self.root}/{kind}/_versions")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        names = [n for n in names if n.endswith(".txt")]
+        return (int(names[-1].split(".")[0]), self.spark.read.text(f"{self.root}/{kind}/_versions/{names[-1]}", wholetext=True).first()[0]) if names else (0, None)
+
+    def _put(self, kind: str, base: int, rows: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/{kind}/{name}")
+        fs, p = self._fs(f"{self.root}/{kind}/_versions/{base + 1:012d}.txt")
+        try:
+            stream = fs.create(p, False)
+        except Exception as e:
+            if "exists" in str(e).lower():
+                raise ConcurrencyError(f"{kind} was saved by another writer") from e
+            raise
+        try:
+            stream.write(bytearray(name.encode()))
+        finally:
+            stream.close()
 
     def query(self, kind: str) -> DataFrame:
-        if kind not in self.at:
+        _, folder = self._at(kind)
+        if folder is None:
             return self.spark.createDataFrame([], "id string, body string")
-        return self.spark.read.parquet(self.at[kind])
+        return self.spark.read.parquet(f"{self.root}/{kind}/{folder}")
 
     def load(self, kind: str, key: str) -> dict | None:
         row = self.query(kind).where(F.col("id") == key).limit(1).collect()
@@ -395,13 +537,11 @@ class DocumentStore:
         for kind in {k for k, _, _ in writes}:
             rows = [(key, json.dumps(body), body is None, n) for n, (k, key, body) in enumerate(writes) if k == kind]
             new = self.spark.createDataFrame(rows, "id string, body string, deleted boolean, n int")
-            path = f"{self.root}/{kind}/{uuid.uuid4().hex}"
-            upsert(self.query(kind), new, "id", "n").write.parquet(path)
-            self.at[kind] = path
+            base, _ = self._at(kind)
+            self._put(kind, base, upsert(self.query(kind), new, "id", "n"))
 
     def delete_where(self, kind: str, predicate: Column) -> None:
         from ..operators.documents import delete_where
 
-        path = f"{self.root}/{kind}/{uuid.uuid4().hex}"
-        delete_where(self.query(kind), predicate).write.parquet(path)
-        self.at[kind] = path
+        base, _ = self._at(kind)
+        self._put(kind, base, delete_where(self.query(kind), predicate))

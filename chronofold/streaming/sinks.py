@@ -46,15 +46,18 @@ def dead_letters(errors: DataFrame, projection: str, shard: str) -> DataFrame:
     )
 
 
-def sink(view_of: Callable[[DataFrame, int], DataFrame], effects: SideEffects, store, outbox: str) -> Callable[[DataFrame, int], None]:
-    """A ``side_effects`` callback for ``Daemon.continuous``: appends raised events and fills the outbox."""
+def sink(view_of: Callable[[DataFrame, int], DataFrame], effects: SideEffects, store, outbox: str, name: str = "side effects") -> Callable[[DataFrame, int], None]:
+    """A ``side_effects`` callback for ``Daemon.continuous``: appends raised events and fills the outbox.
+
+    The store remembers the last batch of ``name`` with the commit, so a batch that is tried again raises nothing twice.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         view = view_of(batch, batch_id)
         if effects.message_when is not None:
             write_once(effects.messages(view), outbox, batch_id)
         if effects.raise_when is not None:
-            store.append_frame(effects.events(view).withColumn("timestamp", F.current_timestamp()))
+            store.append_frame(effects.events(view).withColumn("timestamp", F.current_timestamp()), once=(name, batch_id))
 
     return run
 

@@ -36,7 +36,7 @@ def test_catch_up_equals_rebuild_and_live(spark, tmp_path):
     for k in range(3):
         write(spark, log, k * 40 + 1, k * 40 + 41, k)
     p = projection()
-    daemon.catch_up(p, files_per_trigger=1)
+    daemon.catch_up(p, page=30)
     write(spark, log, 121, 161, 9)
     latest = {s: rows(daemon.fetch_latest(p, s)) for s in ("s0", "s1")}
     daemon.catch_up(p)
@@ -44,7 +44,7 @@ def test_catch_up_equals_rebuild_and_live(spark, tmp_path):
     assert rows(daemon.table(p).read()) == live
     assert all(rows(p.run(daemon.log()).where(F.col("slice_id") == s)) == got for s, got in latest.items())
     other = projection("again")
-    daemon.rebuild_tenants([other], 2)
+    daemon.rebuild_all([other], 2)
     assert rows(daemon.table(other).read()) == live and daemon.table(other).progress()["sequence"] == 160
     daemon.rebuild(other, "t")
     assert rows(daemon.table(other).read()) == live
@@ -84,7 +84,7 @@ def test_high_water(spark):
     assert sorted(map(tuple, gaps(e, span=2).collect())) == [(3, 5), (6, 9)]
     assert tuple(high_water_mark(e).first()) == (3, 9) and high_water_mark(e, skip_to=5).first()["mark"] == 6
     t = e.withColumn("t", F.col("sequence") % 2)
-    assert {r["t"]: r["mark"] for r in high_water_mark(t, "t").collect()} == {0: 2, 1: 1}
+    assert {r["t"]: r["mark"] for r in high_water_mark(t, "t", own=True).collect()} == {0: 2, 1: 1}
     h = HighWater()
     assert h.observe(3, 9, 0.0) == "Changed" and h.observe(3, 9, 1.0) == "Changed" and h.observe(3, 9, 4.0) == "Stale"
     h.skip(6, 4.0)

@@ -126,7 +126,7 @@ def test_session_and_documents(spark, store, tmp_path):
     assert list(session.pending_streams) == ["a"] and docs.load("widget", "1") is None
     session.save()
     assert docs.load("widget", "1") == {"w": 2} and docs.load_many("widget", ["2", "2", "9"]) == {"2": {"w": 3}}
-    assert not session.pending_streams and heard[0]["updated"] == [("widget", "1"), ("widget", "2")]
+    assert not session.pending_streams and heard[0]["inserted"] == [("widget", "1"), ("widget", "2")] and not heard[0]["updated"]
     session.delete_document("widget", "1")
     session.save()
     assert docs.load("widget", "1") is None and heard[1]["deleted"] == [("widget", "1")]

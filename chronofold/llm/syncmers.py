@@ -51,11 +51,15 @@ def fingerprint(text: Column) -> Column:
     """struct(hash array<int>, pos array<int>): the closed syncmers of a text, in order."""
     inner, pad = K - S + 1, F.array_repeat(F.lit(""), K - 1)
 
+    def closed(h: Column, i: Column) -> Column:
+        """The least of the s-mers' hashes from i on is at an edge."""
+        return F.least(F.get(h, i), F.get(h, i + (inner - 1))) <= F.least(*[F.get(h, i + j) for j in range(1, inner - 1)])
+
     def made(u: Column) -> Column:
-        smers = F.transform(F.sequence(F.lit(0), F.size(u) - S), lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(S)]))
-        starts = F.sequence(F.lit(0), F.size(u) - K)
-        kept = _bind(smers, lambda h: F.filter(starts, lambda i: F.least(F.get(h, i), F.get(h, i + (inner - 1))) == F.array_min(F.slice(h, i + 1, inner))))
-        return _bind(kept, lambda at: F.struct(F.transform(at, lambda i: F.hash(F.slice(u, i + 1, K))).alias("hash"), F.transform(at, lambda i: i - (K - 1)).alias("pos")))
+        n = F.size(u)
+        smers = F.zip_with(F.slice(u, F.lit(1), n - 1), F.slice(u, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))  # S is 2
+        kept = _bind(smers, lambda h: F.filter(F.sequence(F.lit(0), n - K), lambda i: closed(h, i)))
+        return _bind(kept, lambda at: F.struct(F.transform(at, lambda i: F.hash(*[F.get(u, i + j) for j in range(K)])).alias("hash"), F.transform(at, lambda i: i - (K - 1)).alias("pos")))
 
     none = F.array().cast("array<int>")
     units = F.regexp_extract_all(text, F.lit(UNITS), F.lit(0))

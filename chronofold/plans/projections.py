@@ -185,12 +185,13 @@ class Composite:
 
     def run(self, events: DataFrame) -> dict[str, DataFrame]:
         out, current, with_id = {}, events, "id" in events.columns
-        for members in self.stages:
-            derived = []
+        for at, members in enumerate(self.stages):
+            derived, later = [], [m for stage in self.stages[at + 1 :] for m in stage]
             for m in members:
                 out[m.name] = m.run(current)
-                derived.append(derived_events(out[m.name], m.name, with_id=with_id))
-                if isinstance(m, (SingleStream, MultiStream)):
+                if any(x.reads_any_of(UPDATED) for x in later):
+                    derived.append(derived_events(out[m.name], m.name, with_id=with_id))
+                if isinstance(m, (SingleStream, MultiStream)) and any(x.reads_any_of(DELETED) for x in later):
                     gone = m.sliced(m.filtered(current)).select(*KEYS).distinct().join(out[m.name].select(*KEYS), KEYS, "left_anti")
                     derived.append(derived_events(gone, m.name, deleted=True, with_id=with_id))
             for d in derived:

@@ -1,4 +1,4 @@
-"""Scalar functions over columns. Those on 32-bit wrapping arithmetic run as vectorised Arrow functions."""
+"""Scalar functions over columns, all without Python workers; 32-bit arithmetic wraps in folds over 64 bits."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import re
 import uuid
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 
 def event_type_alias(name: Column) -> Column:
@@ -86,9 +84,13 @@ def _utf16(text: str) -> list[int]:
     return [raw[i] | raw[i + 1] << 8 for i in range(0, len(raw), 2)]
 
 
+#: Start and factor of the paired hash.
+PAIR_SEED, PAIR_FACTOR = 5381, 1566083941
+
+
 def paired_hash(text: str, seed: int, stop_at_nul: bool) -> int:
     """Two interleaved times-33 hashes over UTF-16 units, combined by a fixed factor, in 32 bits."""
-    units = _utf16(text)
+    units, seed = _utf16(text), seed % (1 << 32)
     if stop_at_nul and 0 in units:
         units = units[: units.index(0)]
     one = two = seed
@@ -97,7 +99,7 @@ def paired_hash(text: str, seed: int, stop_at_nul: bool) -> int:
             one = (one << 5) + one & 0xFFFFFFFF ^ unit
         else:
             two = (two << 5) + two & 0xFFFFFFFF ^ unit
-    return _wrap(one + two * 1566083941)
+    return _wrap(one + two * PAIR_FACTOR)
 
 
 def byte_hash(text: str) -> int:
@@ -108,14 +110,33 @@ def byte_hash(text: str) -> int:
     return _wrap(h)
 
 
-@F.pandas_udf(IntegerType())
-def stable_hash(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: paired_hash(t, 5381, True), na_action="ignore")
+def _paired(text: Column, seed: int, stop_at_nul: bool) -> Column:
+    """``paired_hash`` without Python: a fold over the UTF-16 units, wrapped at every step."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), (F.length(digits) / 4).cast("int") - 1), lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    start = F.lit(seed % (1 << 32)).cast("long")
+    zero = F.struct(start.alias("one"), start.alias("two"), F.lit(True).alias("even"), F.lit(True).alias("on"))
+
+    def step(x: Column, unit: Column) -> Column:
+        on = x["on"] & (unit != 0) if stop_at_nul else F.lit(True)
+        turned = lambda h: F.pmod(h * 33, F.lit(1 << 32)).bitwiseXOR(unit)
+        one, two = F.when(on & x["even"], turned(x["one"])).otherwise(x["one"]), F.when(on & ~x["even"], turned(x["two"])).otherwise(x["two"])
+        return F.struct(one.alias("one"), two.alias("two"), (~x["even"]).alias("even"), on.alias("on"))
+
+    def whole(x: Column) -> Column:
+        n = F.pmod(x["one"] + F.pmod(x["two"] * PAIR_FACTOR, F.lit(1 << 32)), F.lit(1 << 32))
+        return F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n).cast("int")
+
+    none = F.array().cast("array<bigint>")
+    return F.when(text.isNotNull(), F.aggregate(F.when(F.length(text) > 0, units).otherwise(none), zero, step, whole))
+
+
+def stable_hash(text: Column) -> Column:
+    return _paired(text, PAIR_SEED, True)
 
 
-@F.pandas_udf(IntegerType())
-def deterministic_hash(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: paired_hash(t, (5381 << 16) + 5381, False), na_action="ignore")
+def deterministic_hash(text: Column) -> Column:
+    return _paired(text, (PAIR_SEED << 16) + PAIR_SEED, False)
 
 
 def utf8_byte_hash(text: Column) -> Column:

@@ -548,6 +548,21 @@ def uri_parts(spark, d):
     return p.select("page_id", (scalars.uri_matches(F.col("url"), "https://") & (host.endswith(".example.net") | (host == "example.net"))).alias("secure_net"), host.alias("host"))
 
 
+@query("""with u as (select o_orderkey, list_transform(range(1, length(o_orderpriority) + 1), lambda i: cast(ascii(substr(o_orderpriority, i, 1)) as bigint)) as us from orders),
+p as (select o_orderkey, list_reduce(list_prepend(cast(5381 as bigint), us[1:-:2]), lambda a, b: xor((a * 33) % 4294967296, b)) as one,
+             list_reduce(list_prepend(cast(5381 as bigint), us[2:-:2]), lambda a, b: xor((a * 33) % 4294967296, b)) as two from u),
+h as (select o_orderkey, (one + (two * 1566083941) % 4294967296) % 4294967296 as h from p)
+select o_orderkey, cast(case when h >= 2147483648 then h - 4294967296 else h end as integer) as hash from h""")
+def stable_text_hash(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", scalars.stable_hash(F.col("o_orderpriority")).alias("hash"))
+
+
+@query("select c_custkey, regexp_replace(c_name, '0', '_') as replaced, c_mktsegment || '|x' as parts, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) as title from customer")
+def string_tools(spark, d):
+    parts = scalars.delimited(F.concat(F.lit(" "), "c_mktsegment", F.lit(" , ,x,")))
+    return table(spark, d, "customer").select("c_custkey", scalars.replace_first(F.col("c_name"), "0", "_").alias("replaced"), F.array_join(parts, "|").alias("parts"), scalars.capitalise(F.lower("c_mktsegment")).alias("title"))
+
+
 # ---- graph ----------------------------------------------------------------------------------------------------
 
 
@@ -559,6 +574,53 @@ def event_model_edges(spark, d):
     return model(spark, [s, s])[1]
 
 
+# ---- the store ----
+
+
+def _store(spark, d, **rest):
+    """All events, appended to a store of its own in order of time and id."""
+    import uuid
+
+    from .checkpoint import shared_folder
+    from .sources.store import EventStore
+
+    log = adapted(spark, d)
+    rows = log.select(F.lpad(F.col("sequence").cast("string"), 12, "0").alias("id"), F.col("stream_id").cast("string").alias("stream_id"), "tenant_id", "event_type",
+                      F.to_json(F.struct("value", "k")).alias("data"), F.col("timestamp").cast("timestamp").alias("timestamp"))
+    store = EventStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", **rest)
+    store.append_frame(rows)
+    return store
+
+
+STORED = "n as (select event_id, cast(user_id as varchar) as stream_id, 't' || cast(user_id % 3 as varchar) as tenant_id, event_type, value, row_number() over (order by ts, event_id) as sequence, row_number() over (partition by user_id order by ts, event_id) as version from events)"
+
+
+@query(f"with {STORED} select event_id, stream_id, sequence, version from n")
+def store_bulk_append(spark, d):
+    """Sequences and versions that a bulk append gives all events."""
+    return _store(spark, d).events().select(F.col("id").cast("long").alias("event_id"), "stream_id", "sequence", "version")
+
+
+@query(f"with {STORED}, m as (select *, max(version) over (partition by stream_id) as top from n) select stream_id, version, case when stream_id = '7' then 'compacted' else event_type end as event_type from m where stream_id <> '7' or version = top")
+def store_compacted(spark, d):
+    """A store after one stream has been compacted whole; its version stays."""
+    store = _store(spark, d)
+    total = F.to_json(F.struct(F.sum(F.get_json_object("data", "$.value").cast("double")).alias("value")))
+    store.compact_stream("7", lambda rows: rows.groupBy("tenant_id", "stream_id").agg(total.alias("data")), tenant="t1")
+    return store.events().select("stream_id", "version", "event_type")
+
+
+@query(f"with {STORED}, s as (select stream_id, max(version) as version from n group by 1) select stream_id, cast(version + 2 as bigint) as version from s where stream_id in ('3', '8') union all select 'fresh', 1")
+def store_append(spark, d):
+    """Versions of the streams that a commit of three actions touched, one of them started."""
+    from .sources.store import Action, Event
+
+    store = _store(spark, d)
+    made = store.append(Action("3", [Event("click", {}), Event("click", {})], "t0", expected=None), Action("8", [Event("click", {}), Event("click", {})], "t2"), Action("fresh", [Event("signup", {})], "t0", start=True))
+    touched = made.select("tenant_id", "stream_id").distinct()
+    return store.events().join(touched, ["tenant_id", "stream_id"], "left_semi").groupBy("stream_id").agg(F.max("version").alias("version"))
+
+
 # ---- more of each kind ----------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 DEFAULT_TENANT = "*DEFAULT*"
 NIL_ID = "00000000-0000-0000-0000-000000000000"
+#: Fixed value: the stream that gap fillers stand in.
 TOMBSTONE_STREAM = "mt_tombstone"
 #: Event types with a meaning of their own.
 ARCHIVED, COMPACTED, TOMBSTONE, REFERENCES, UPDATED, DELETED = "archived", "compacted", "tombstone", "references", "updated", "projection_deleted"

@@ -335,3 +335,14 @@ def test_small_parts(spark):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert most[0] == 2 and slow(7) == 7
+
+
+def test_siblings_are_enriched_apart(spark):
+    from chronofold.operators.enrich import enrich, enrich_many
+
+    log = spark.createDataFrame([("t", "p", 1, "order", [3, 1])], "tenant_id string, stream_id string, sequence long, event_type string, parts array<int>").withColumn("part", F.lit(0))
+    s = slicing.Slicer().identity(F.col("stream_id")).fan_out("order", F.col("parts"), "item", {"part": lambda c: c}).slice(log)
+    parts = spark.createDataFrame([(1, "one"), (3, "three"), (3, "also three")], "id int, name string")
+    got = {r["ordinal"]: [x["name"] for x in r["found"] or []] for r in enrich_many(s, parts, F.array("part"), "id", "found").collect()}
+    assert got == {-1: [], 0: ["also three"], 1: ["one"]}
+    assert sorted(r["n"] or "" for r in enrich(s, parts, F.col("part"), "id", {"n": "name"}).collect()) == ["", "also three", "one"]

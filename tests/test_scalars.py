@@ -25,9 +25,11 @@ def test_texts(spark):
 
 
 def test_hashes(spark):
-    for text in ("", "a", "hello world", "é漢"):
+    for text in ("", "a", "hello world", "é漢", "😀 smile", "ab\0cd", "z" * 90):
         assert one(spark, s.utf8_byte_hash(F.lit(text))) == s.byte_hash(text)
         assert one(spark, s.stable_hash(F.lit(text))) == s.paired_hash(text, 5381, True)
+        assert one(spark, s.deterministic_hash(F.lit(text))) == s.paired_hash(text, (5381 << 16) + 5381, False)
+    assert one(spark, s.stable_hash(F.lit(None).cast("string"))) is None
     assert s.byte_hash("ab") == 31 * 97 + 98 and -(1 << 31) <= s.byte_hash("z" * 99) < 1 << 31
 
 
